@@ -10,6 +10,7 @@ from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.mixing import mix_sources
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.secrets import secret_spans
+from gridloom.llm.substrings import substring_dedup
 from gridloom.llm.token_counts import token_counts
 
 
@@ -44,8 +45,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_token_counts, op4_secrets, op5_exact_dedup, op8_packing)
+    f.__name__: f for f in (op1_mixing, op2_token_counts, op4_secrets, op5_exact_dedup, op8_packing, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -65,4 +70,13 @@ ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op10_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d),
+             r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(list_slice(w, i, i + 19), ' ') ORDER BY doc_id, i) AS nth FROM p),
+             c AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS k FROM r WHERE nth > 1) GROUP BY doc_id),
+             k AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN c USING (doc_id)),
+             t AS (SELECT doc_id, word, n, g.k IS NULL AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS n FROM k) u LEFT JOIN (SELECT doc_id AS o, unnest(gone) AS k FROM k) g ON g.o = u.doc_id AND g.k = u.n),
+             s AS (SELECT doc_id, sha256(coalesce(string_agg(word, ' ' ORDER BY n) FILTER (kept), '')) AS h, count(*) FILTER (NOT kept) AS gone FROM t GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(s.gone, 0)::BIGINT AS n_removed, coalesce(s.h, sha256('')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)""",
 }
