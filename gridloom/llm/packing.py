@@ -13,6 +13,7 @@ comes from prefix sums in two levels: no length meets in one task.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -20,51 +21,122 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.scratch import ship, written
-from gridloom.llm.token_counts import byte_slices
+from gridloom.llm.textkernel import Words, slices, words_of
 
-BATCH_BYTES = 4 << 20
-MEMO_ROOM, MEMO_LENGTH = 600_000, 64
+#: Units whose ids a worker remembers.
+MEMO_ROOM = 600_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds:
-    """Token ids of a text as little-endian unsigned 32-bit bytes.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
+
+
+def units_of(texts: pa.Array) -> Words:
+    """Words (A-Z lowered) cut where a letter and a mark meet.
 
-    The tokenizer drops white space, so a text's ids are those of its parts
-    between spaces and newlines; a bounded memo holds the parts that repeat.
-    ``whole`` encodes a text in one piece instead, for tokenizers that keep it.
+    Letters are a-z and the two-byte letters U+00C0 to U+00FF; marks are ASCII
+    ones but the apostrophe. The tokenizer cuts there too, whatever surrounds.
+    """
+    w = words_of(texts, lower=True)
+    letter, mark = _LETTER[w.data], _MARK[w.data]
+    pair = (w.data[:-1] == 0xC3) & (w.data[1:] != 0x97) & (w.data[1:] != 0xB7)
+    letter[:-1] |= pair
+    letter[1:] |= pair
+    cut = np.zeros(len(w.data), bool)
+    cut[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    cut[w.bounds[:-1]] = True
+    starts = np.flatnonzero(cut)
+    return Words(w.data, np.append(starts, len(w.data)), np.searchsorted(starts, w.bounds[w.first]))
+
+
+class WordIds:
+    """Token ids of texts, for a tokenizer that lowers case and drops white space.
+
+    A text's ids are those of its ``units_of``. Each batch's units are looked up
+    once, in a bounded memo; unknown runs of letters are encoded many at a time
+    with a space between them and told apart by the tokens that end a word
+    (where the ends don't add up, and for other units, one by one). Texts that
+    hold an added token's string are encoded whole, as are all with ``whole``,
+    for other tokenizers.
     """
 
     def __init__(self, file: str, whole: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.memo: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.added = [str(t) for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
         self.whole = whole
-
-    def ids(self, parts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(parts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.whole:
-            return self.ids(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_ROOM:
-            memo.clear()
-        missing = [w for w in set().union(*split) if w not in memo]
-        long: dict[str, bytes] = {}
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, b in zip(part, self.ids(part)):
-                (memo if len(w) <= MEMO_LENGTH else long)[w] = b
-        get = memo.__getitem__ if not long else lambda w: memo[w] if w in memo else long[w]
-        return [b"".join(map(get, words)) for words in split]
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[bytes, int] = {}
+        self.store, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.spans = np.zeros((2, 1 << 14), np.int64)  # first id and number of ids of each unit
+
+    def ids(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _keep(self, units: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, end = len(self.memo), self.used + len(ids)
+        if end > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros(end, "<u4")])
+        if n + len(units) > self.spans.shape[1]:
+            self.spans = np.concatenate([self.spans, np.zeros((2, n + len(units)), np.int64)], axis=1)
+        self.store[self.used : end] = ids
+        self.spans[0, n : n + len(units)] = self.used + np.cumsum(lengths) - lengths
+        self.spans[1, n : n + len(units)] = lengths
+        self.memo.update(zip(units, range(n, n + len(units))))
+        self.used = end
+
+    def learn(self, units: list[bytes]) -> None:
+        runs = [u for u in units if u.isalpha() or not u.isascii() and u.decode().isalpha()]
+        rest = list(set(units).difference(runs))
+        for i in range(0, len(runs), 500):
+            chunk = runs[i : i + 500]
+            ids = self.ids([b" ".join(chunk).decode()])[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(chunk):
+                self._keep(chunk, ids, np.diff(ends, prepend=0))
+            else:
+                rest += chunk
+        for i in range(0, len(rest), 10_000):
+            chunk = rest[i : i + 10_000]
+            ids = self.ids([u.decode() for u in chunk])
+            self._keep(chunk, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit bytes; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.full(len(texts), self.whole)
+        for token in self.added:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        alone = dict(zip(np.flatnonzero(odd).tolist(), self.ids(texts.filter(pa.array(odd)).to_pylist())))
+        if alone:
+            texts = pc.if_else(pa.array(odd), "", texts)
+        if len(self.memo) > MEMO_ROOM:
+            self.forget()
+        units = units_of(texts)
+        coded = units.dictionary()
+        kinds = coded.dictionary.to_pylist()
+        self.learn([u for u in kinds if u not in self.memo])
+        number = np.fromiter(map(self.memo.__getitem__, kinds), np.int64, len(kinds))[coded.indices.to_numpy()]
+        first, n = self.spans[0, number], self.spans[1, number]
+        ends = np.cumsum(n)
+        ids = self.store[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)].tobytes()
+        cuts = np.append(0, ends)[units.first] * 4
+        return [alone[i].tobytes() if i in alone else ids[a:b] for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
 
 
 _encoders: dict[tuple[str, bool], WordIds] = {}
@@ -74,15 +146,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], file: str, capacity: int, end_id:
     encoder = _encoders.get((file, whole)) or _encoders.setdefault((file, whole), WordIds(file, whole))
     end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
     for batch in batches:
-        texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-        sizes = [len(t) if t else 0 for t in texts]
         rows = []
-        for a, b in byte_slices(sizes, BATCH_BYTES):
-            for doc, tokens in zip(ids[a:b], encoder.encode([t or "" for t in texts[a:b]])):
+        for part in slices(batch, 1):
+            for doc, tokens in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                 tokens += end
                 for n, at in enumerate(range(0, len(tokens), step)):
-                    part = tokens[at : at + step]
-                    rows.append((doc, n, at // 4, len(part) // 4, zlib.crc32(part)))
+                    piece = tokens[at : at + step]
+                    rows.append((doc, n, at // 4, len(piece) // 4, zlib.crc32(piece)))
         columns = list(zip(*rows)) or [[]] * 5
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])

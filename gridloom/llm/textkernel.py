@@ -79,13 +79,16 @@ class Words:
         out[np.arange(len(self.data)) + np.repeat(np.arange(n), lengths)] = self.data
         return out, self.bounds + np.arange(n + 1)
 
-    def codes(self) -> np.ndarray:
-        """Equal words, and only those, get equal numbers."""
+    def dictionary(self) -> pa.DictionaryArray:
+        """The words by their numbers among the distinct words."""
         n = len(self.bounds) - 1
-        words = pa.LargeBinaryArray.from_buffers(
+        return pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), n, [None, pa.py_buffer(self.bounds.astype(np.int64)), pa.py_buffer(self.data)]
-        )
-        return words.dictionary_encode().indices.to_numpy()
+        ).dictionary_encode()
+
+    def codes(self) -> np.ndarray:
+        """Equal words, and only those, get equal numbers."""
+        return self.dictionary().indices.to_numpy()
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> Words:
