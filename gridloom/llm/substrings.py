@@ -19,7 +19,6 @@ the codes, and neighbours are compared code by code.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.scratch import partitions, ship, written
 from gridloom.llm.textkernel import Words, grams, mixed, slices, words_of
 
-GRAM = 6
+GRAM = 4
 #: Buckets for each shuffle partition.
 SPREAD = 8
 #: A slice reports minimisers with so many packed strings.
@@ -38,6 +37,7 @@ REPORTED = 8
 #: A minimiser is hot from this many reported strings on, or from the share below.
 LEAST_HOT = 500
 _LAST = np.iinfo(np.int64).max
+_CODEC = pa.Codec("zstd", 3)
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -154,7 +154,8 @@ def _packed(batches: Iterator[pa.RecordBatch], size: int, buckets: int, hot: np.
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 head = b"".join(columns[k][a:b].astype(t).tobytes() for k, t in _FIELDS)
                 out_bucket.append(int(bucket[order[a]]))
-                payload.append((b - a).to_bytes(4, "little") + zlib.compress(head + b"".join(pieces[a:b]), 1))
+                raw = head + b"".join(pieces[a:b])
+                payload.append((b - a).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + _CODEC.compress(raw, asbytes=True))
             yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(payload, pa.binary())], ["bucket", "payload"])
 
 
@@ -162,7 +163,8 @@ def _unpacked(payloads: list[bytes]) -> tuple[dict[str, np.ndarray], list[bytes]
     heads: dict[str, list] = {k: [] for k, _ in _FIELDS}
     texts = []
     for p in payloads:
-        n, raw, at = int.from_bytes(p[:4], "little"), zlib.decompress(p[4:]), 0
+        n, size, at = int.from_bytes(p[:4], "little"), int.from_bytes(p[4:8], "little"), 0
+        raw = _CODEC.decompress(p[8:], size, asbytes=True)
         for k, t in _FIELDS:
             heads[k].append(np.frombuffer(raw, t, n, at))
             at += n * np.dtype(t).itemsize
