@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.lines import line_report
 from gridloom.llm.mixing import mix_sources
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.secrets import secret_spans
@@ -33,6 +34,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_documents(spark, sf_dir))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_token_counts, op4_secrets, op5_exact_dedup, op8_packing, op10_substring_dedup)
+    f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op4_secrets, op5_exact_dedup, op8_packing, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -67,6 +72,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                (size * (CASE WHEN size > 0 THEN (start + size / 2 <= target)::INT + (start + source_size + size / 2 <= target)::INT + (start + 2 * source_size + size / 2 <= target)::INT ELSE 0 END))::BIGINT AS taken
         FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source""",
+    "op3_line_dedup": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+             u AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
+             f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM u WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+             n AS (SELECT *, lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2 FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+             r AS (SELECT doc_id, pos, length(line) >= 120 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS one,
+                          l2 IS NOT NULL AND row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, pos) > 1 AS three FROM n),
+             g AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM r WHERE one UNION ALL SELECT doc_id, pos + k AS pos FROM r, range(3) t(k) WHERE three)),
+             m AS (SELECT u.doc_id, u.line, u.i, f.pos, g.pos AS gone FROM u LEFT JOIN f ON f.doc_id = u.doc_id AND f.i = u.i LEFT JOIN g ON g.doc_id = f.doc_id AND g.pos = f.pos)
+        SELECT doc_id, count(pos) AS n_lines, count(gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
