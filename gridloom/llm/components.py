@@ -10,12 +10,25 @@ the number of edges left.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.scratch import remove, written
 
 
+_TURN = -(2**63)
+
+
+def ordered_key(number: Column, rest: Column) -> Column:
+    """Bytes that sort as (number, rest) do; ``rest`` is binary."""
+    return F.concat(F.unhex(F.lpad(F.hex(number.bitwiseXOR(F.lit(_TURN))), 16, "0")), rest)
+
+
+def number_of(key: Column) -> Column:
+    """The number in an ``ordered_key``."""
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_TURN))
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select("u", "v").unionAll(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.components import components
+from gridloom.llm.batches import Forest, groups
+from gridloom.llm.components import components, number_of, ordered_key
 from gridloom.llm.scratch import partitions, ship, written
 from gridloom.llm.textkernel import grams, mixed, slices, words_of
 
@@ -113,45 +114,6 @@ def _branched(batches: Iterator[pa.RecordBatch], again: float) -> Iterator[pa.Re
         )
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Rows of each key, whole; the input is sorted by the key."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key)
-        values = np.array(keys.to_pylist(), object) if pa.types.is_binary(keys.type) else keys.to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if held and held[-1].column(key)[0].as_py() != values[a]:
-                yield _one(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield _one(held)
-
-
-def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def _allowed(sketch: np.ndarray, n: np.ndarray, i: int, least: int, similar: tuple[int, int]) -> np.ndarray:
     """Rows after ``i`` that may be linked to it by estimate and size."""
     a, b = similar
@@ -163,7 +125,7 @@ def _allowed(sketch: np.ndarray, n: np.ndarray, i: int, least: int, similar: tup
 def _clustered(batches: Iterator[pa.RecordBatch], least: int, similar: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     keys: list[bytes] = []
     rows: list[bytes] = []
-    for leaf in _groups(batches, "path"):
+    for leaf in groups(batches, "path"):
         ids = leaf.column("v").to_pylist()
         unique = sorted({v: k for k, v in enumerate(ids)}.items())
         if len(unique) < 2:
@@ -173,7 +135,7 @@ def _clustered(batches: Iterator[pa.RecordBatch], least: int, similar: tuple[int
         signatures = leaf.column("signature")
         sketch = np.frombuffer(b"".join(signatures[k].as_py() for k in pick), np.uint32).reshape(-1, VALUES)
         n = leaf.column("n").to_numpy(zero_copy_only=False)[pick]
-        forest = _Forest(len(ids))
+        forest = Forest(len(ids))
         for i in range(len(ids) - 1):
             for j in _allowed(sketch, n, i, least, similar).tolist():
                 forest.join(i, j)
@@ -201,7 +163,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
 def _confirmed(batches: Iterator[pa.RecordBatch], least: int, similar: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Links of each cluster that connect it as all its links do."""
     a, b = similar
-    for cluster in _groups(batches, "cluster"):
+    for cluster in groups(batches, "cluster"):
         unique = sorted({v: k for k, v in enumerate(cluster.column("v").to_pylist())}.items())
         ids = [v for v, _ in unique]
         column = cluster.column("shingles")
@@ -211,7 +173,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], least: int, similar: tuple[int
         codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
         sketch = _signatures(np.concatenate(sets), first)
         mark = np.zeros(int(codes.max()) + 1, np.int64)
-        forest, links = _Forest(len(ids)), []
+        forest, links = Forest(len(ids)), []
         for i in range(len(ids) - 1):
             others = [j for j in _allowed(sketch, n, i, least, similar).tolist() if forest.find(j) != forest.find(i)]
             if not others:
@@ -290,20 +252,18 @@ def near_dedup(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (80, 1
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("print"), "text")
     sketched = written(slim.mapInArrow(lambda it: _sketched(it, size), _DOCS), "sketches")
     d = F.coalesce("doc_id", F.lit(_LAST))
-    # bytes that sort as (d, class) do
-    place = F.unhex(F.lpad(F.hex(F.col("d").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
     classes = (
         sketched.where(F.col("class").isNotNull()).groupBy("class")
         .agg(F.min(F.struct(d.alias("d"), "print")).alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"))
         .select("class", "least.d", "least.print", "n", "signature")
-        .withColumn("v", F.concat(place, "class"))
+        .withColumn("v", ordered_key(F.col("d"), F.col("class")))
     )
     classes = written(classes, "classes")
     keyed = slim.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "print", "text")
     links = written(similarity_links(classes, keyed, size, similar), "links")
     roots = components(links)
     whole = classes.select("class", "v", "d").join(roots, F.col("v") == F.col("node"), "left")
-    first = F.when(F.col("root").isNull(), F.col("d")).otherwise(F.expr("cast(conv(hex(substring(root, 1, 8)), 16, -10) as bigint)").bitwiseXOR(F.lit(-(2**63))))
+    first = F.coalesce(number_of(F.col("root")), "d")
     reached = written(whole.select("class", first.alias("least")), "reached")
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "class").join(reached, "class", "left")
     least = F.coalesce(F.when(F.col("least") != _LAST, F.col("least")), F.col("doc_id"))

@@ -14,6 +14,7 @@ from gridloom.llm.packing import pack_documents
 from gridloom.llm.secrets import secret_spans
 from gridloom.llm.substrings import substring_dedup
 from gridloom.llm.token_counts import token_counts
+from gridloom.llm.vectors import embedding_dedup
 
 
 def tokenizer(name: str) -> str:
@@ -55,12 +56,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op4_secrets, op5_exact_dedup, op7_minhash, op8_packing, op10_substring_dedup)
+    f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op4_secrets, op5_exact_dedup, op7_minhash, op8_packing, op9_embeddings, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,6 +104,13 @@ ORACLE_SQL: dict[str, str] = {
              e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
              r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
         SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op9_embeddings": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+             p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+             r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+             n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+        SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, min(r.b) AS component_id, v.vec_id = min(r.b) AS kept
+        FROM v JOIN r ON r.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id GROUP BY v.vec_id, n.n""",
     "op10_substring_dedup": """
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
              p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d),
