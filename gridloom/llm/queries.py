@@ -11,6 +11,7 @@ from gridloom.llm.lines import line_report
 from gridloom.llm.minhash import near_dedup
 from gridloom.llm.mixing import mix_sources
 from gridloom.llm.packing import pack_documents
+from gridloom.llm.quality import quality_report
 from gridloom.llm.secrets import secret_spans
 from gridloom.llm.substrings import substring_dedup
 from gridloom.llm.token_counts import token_counts
@@ -48,6 +49,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_documents(spark, sf_dir), size=3, similar=(85, 100))
 
@@ -65,7 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op4_secrets, op5_exact_dedup, op7_minhash, op8_packing, op9_embeddings, op10_substring_dedup)
+    f.__name__: f for f in (op1_mixing, op2_token_counts, op3_line_dedup, op4_secrets, op5_exact_dedup, op6_quality, op7_minhash, op8_packing, op9_embeddings, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
