@@ -34,9 +34,12 @@ from gridloom.llm.batches import Forest, groups
 from gridloom.llm.components import components, number_of, ordered_key
 from gridloom.llm.scratch import partitions, ship, written
 from gridloom.llm.textkernel import grams, mixed, slices, words_of
+from gridloom.llm.token_counts import byte_slices
 
 #: Minwise values of a signature, trees, rows of a leaf, and levels of a tree.
-VALUES, TREES, LEAF, DEPTH = 48, 10, 300, 14
+VALUES, TREES, LEAF, DEPTH = 48, 10, 800, 14
+#: Shingles of a cluster that are numbered at once; larger clusters compare set by set.
+NUMBERED = 4_000_000
 _LAST = 2**63 - 1
 _SALTS = mixed(np.arange(2 * VALUES, dtype=np.uint64), 5)
 _XOR, _ODD = _SALTS[:VALUES], _SALTS[VALUES:] | np.uint64(1)
@@ -160,6 +163,26 @@ def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([part.column("v"), part.column("clusters"), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["v", "clusters", "shingles"])
 
 
+def _counter(sets: list[np.ndarray], n: np.ndarray, first: np.ndarray):
+    """A function of i and others: how many members set i shares with each other set."""
+    if first[-1] > NUMBERED:
+        return lambda i, others: [len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in others]
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(codes.max()) + 1, np.int64)
+
+    def common(i: int, others: list[int]) -> list[int]:
+        own = codes[first[i] : first[i + 1]]
+        mark[own] = 1
+        length = n[others]
+        ends = np.cumsum(length)
+        spots = np.arange(ends[-1]) + np.repeat(first[others] - (ends - length), length)
+        both = np.add.reduceat(mark[codes[spots]], ends - length)
+        mark[own] = 0
+        return both.tolist()
+
+    return common
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], least: int, similar: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Links of each cluster that connect it as all its links do."""
     a, b = similar
@@ -170,23 +193,14 @@ def _confirmed(batches: Iterator[pa.RecordBatch], least: int, similar: tuple[int
         sets = [np.frombuffer(column[k].as_py(), np.uint64) for _, k in unique]
         n = np.array([len(s) for s in sets])
         first = np.append(0, np.cumsum(n))
-        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        sketch = _signatures(np.concatenate(sets), first)
-        mark = np.zeros(int(codes.max()) + 1, np.int64)
+        parts = list(byte_slices(n.tolist(), NUMBERED // 4))
+        sketch = np.concatenate([_signatures(np.concatenate(sets[i:j]), first[i : j + 1] - first[i]) for i, j in parts])
+        common = _counter(sets, n, first)
         forest, links = Forest(len(ids)), []
         for i in range(len(ids) - 1):
             others = [j for j in _allowed(sketch, n, i, least, similar).tolist() if forest.find(j) != forest.find(i)]
-            if not others:
-                continue
-            own = codes[first[i] : first[i + 1]]
-            mark[own] = 1
-            length = n[others]
-            ends = np.cumsum(length)
-            spots = np.arange(ends[-1]) + np.repeat(first[others] - (ends - length), length)
-            both = np.add.reduceat(mark[codes[spots]], ends - length)
-            mark[own] = 0
-            for j, common in zip(others, both.tolist()):
-                if b * common >= a * int(n[i] + n[j] - common) and forest.join(i, j):
+            for j, both in zip(others, common(i, others) if others else ()):
+                if b * both >= a * int(n[i] + n[j] - both) and forest.join(i, j):
                     links.append((ids[i], ids[j]))
         if links:
             u, v = zip(*links)

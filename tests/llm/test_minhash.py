@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from gridloom.llm import minhash
 from gridloom.llm.minhash import near_dedup
 
@@ -53,6 +55,11 @@ def test_matches_brute_force(spark, monkeypatch):
     docs = frame(spark, [(i, t, None) for i, t in rows]).repartition(3)
     for size, similar in ((3, (85, 100)), (5, (80, 100))):
         assert sorted(map(tuple, near_dedup(docs, size, similar).collect()), key=str) == brute(rows, size, similar)
+    values = [np.unique(np.random.default_rng(k).integers(0, 50, 30).astype(np.uint64)) for k in range(5)]
+    n = np.array([len(v) for v in values])
+    plain = minhash._counter(values, n, np.append(0, np.cumsum(n)))(1, [2, 4])
+    monkeypatch.setattr(minhash, "NUMBERED", 0)
+    assert plain == minhash._counter(values, n, np.append(0, np.cumsum(n)))(1, [2, 4])
     monkeypatch.setattr(minhash, "LEAF", 6)  # deep trees, and blocks at their ends
     monkeypatch.setattr(minhash, "DEPTH", 4)
     want, got = brute(rows, 3, (85, 100)), sorted(map(tuple, near_dedup(docs, 3, (85, 100)).collect()), key=str)
