@@ -47,6 +47,8 @@ def test_matches_brute_force(spark, monkeypatch):
     frame = spark.createDataFrame([(i, v, None, "c", 7) for i, v in rows], SCHEMA).repartition(3)
     want = brute([(i, None if v is None else [None if c is None else float(np.float32(c)) for c in v]) for i, v in rows], 0.9)
     assert sorted(map(tuple, embedding_dedup(frame).collect()), key=str) == want
+    monkeypatch.setattr(vectors, "MARGIN", 1.0)
+    assert sorted(map(tuple, embedding_dedup(frame).collect()), key=str) == want
     monkeypatch.setattr(vectors, "BLOCK", 7)
     monkeypatch.setattr(vectors, "PROBES", 11)
     monkeypatch.setattr(vectors, "SAMPLE", 200)
