@@ -251,7 +251,7 @@ def similarity_links(classes: DataFrame, keyed: DataFrame, size: int, similar: t
     return gathered.mapInArrow(lambda it: _confirmed(it, least, similar), "u binary, v binary")
 
 
-def near_dedup(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (80, 100)) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (80, 100), with_print: bool = False) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``similar`` or more.
 
     Shingles are ``size`` words in lower case (A-Z); fewer words are one shingle.
@@ -260,7 +260,7 @@ def near_dedup(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (80, 1
     Without text or words a document has no shingles and is linked with nothing.
     Null ids count as the largest, and stay null as a component's id. Rows that
     repeat an id are compared as documents of their own. Other columns are
-    ignored; no rows give no rows.
+    ignored; no rows give no rows. ``with_print`` adds a hash of the text, print.
     """
     ship(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("print"), "text")
@@ -279,6 +279,20 @@ def near_dedup(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (80, 1
     whole = classes.select("class", "v", "d").join(roots, F.col("v") == F.col("node"), "left")
     first = F.coalesce(number_of(F.col("root")), "d")
     reached = written(whole.select("class", first.alias("least")), "reached")
-    out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "class").join(reached, "class", "left")
+    out = sketched.select("doc_id", "print", F.col("n").alias("n_shingles"), "class").join(reached, "class", "left")
     least = F.coalesce(F.when(F.col("least") != _LAST, F.col("least")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(least).alias("kept")
+    return out.select("doc_id", "n_shingles", least.alias("component_id"), kept, *(["print"] if with_print else []))
+
+
+def near_deduplicated(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (80, 100)) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest doc_id.
+
+    Of rows that repeat its id and text one stays; documents without words all stay.
+    """
+    rows = near_dedup(docs, size, similar, with_print=True)
+    keep = written(rows.where("kept").select(F.coalesce("doc_id", F.lit(_LAST)).alias("to_d"), F.col("print").alias("to_print"), (F.col("n_shingles") == 0).alias("bare")).distinct(), "keep")
+    held = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.hash("text").alias("print"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = held.join(keep.hint("shuffle_hash"), (F.col("d") == F.col("to_d")) & (F.col("print") == F.col("to_print")))
+    each = F.when(F.col("bare"), F.monotonically_increasing_id())
+    return met.withColumn("each", each).dropDuplicates(["d", "print", "each"]).select("row.*")

@@ -104,7 +104,7 @@ def mix_sources(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM,
     """The mix, one row per input row, range-sorted by first training position.
 
     Columns: doc_id, source, size, source_size, target, copies (times the mix
-    takes the whole document), taken (copies * size), positions (of each copy).
+    takes the whole document), taken (copies * size), positions (of each copy), print (a hash of the text).
     Within a source documents come in the order of md5(doc_id); copy k is taken
     if its middle lies before the source's target, so the words taken differ
     from the target by half a document at most, and no document is taken more
@@ -121,11 +121,12 @@ def mix_sources(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM,
             F.col("source").cast("string").alias("source"),
             (word_count(F.col("text")) if size is None else size).alias("size"),
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"),
+            F.hash("text").alias("print"),
         ).withColumn("part", F.substring("place", 1, 3)),
         "mix-sizes",
     )
     key = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "part"]
-    keyed = slim.select("doc_id", "source", "size", "place", *key)
+    keyed = slim.select("doc_id", "source", "size", "place", "print", *key)
     parts = written(keyed.groupBy("s", "none", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
     ahead = Window.partitionBy("s", "none").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("start", F.coalesce(F.sum("part_size").over(ahead), F.lit(0))).drop("part_size")
@@ -134,7 +135,7 @@ def mix_sources(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM,
     targets = source_targets(sources.select("source", "source_size"), curriculum, cap)
     targets = targets.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull()).drop("source")
     heads = written(starts.join(targets, ["s", "none"]), "mix-heads")
-    within = Window.partitionBy("s", "none", "part").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("s", "none", "part").orderBy("place", "size", "print").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.col("start") + F.col("inner")
     passes = F.sequence(F.lit(0), F.lit(cap - 1))
     mixed = (
@@ -149,7 +150,7 @@ def mix_sources(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM,
     return (
         mixed.withColumn("first", first)
         .orderBy(F.col("first").asc_nulls_last(), "place")
-        .select("doc_id", "source", "size", "source_size", "target", F.col("copies"), (F.col("copies") * F.col("size")).alias("taken"), "positions")
+        .select("doc_id", "source", "size", "source_size", "target", F.col("copies"), (F.col("copies") * F.col("size")).alias("taken"), "positions", "print")
     )
 
 
@@ -157,3 +158,20 @@ def training_order(mixed: DataFrame) -> DataFrame:
     """Every taken copy of ``mix_sources``'s rows, range-sorted by position."""
     copies = mixed.select("doc_id", "source", "size", F.posexplode("positions").alias("copy", "position"))
     return copies.orderBy("position", "source", "doc_id", "copy")
+
+
+def mixed_documents(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM, cap: int = 3) -> DataFrame:
+    """The mix itself: ``docs``' rows, each as often as it is taken, in training order.
+
+    Rows that repeat id, source and text are one document, taken as often as
+    they are together.
+    """
+    taken = mix_sources(docs, curriculum, cap).where("copies > 0")
+    keys = {"doc_id": F.col("doc_id"), "source": F.col("source").cast("string"), "print": F.hash("text")}
+    plan = written(taken.groupBy(*keys).agg(F.flatten(F.collect_list("positions")).alias("positions")), "mix-plan")
+    plan = plan.select(*[F.col(k).alias(f"to_{k}") for k in keys], "positions").hint("shuffle_hash")
+    held = docs.select(*[c.alias(f"by_{k}") for k, c in keys.items()], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = held.join(plan, F.col("by_doc_id").eqNullSafe(F.col("to_doc_id")) & F.col("by_source").eqNullSafe(F.col("to_source")) & (F.col("by_print") == F.col("to_print")))
+    once = met.dropDuplicates([f"by_{k}" for k in keys])
+    copies = once.select("row", F.explode("positions").alias("at"))
+    return copies.orderBy("at", F.col("row.doc_id")).select("row.*")
