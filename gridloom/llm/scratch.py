@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder; where it is unset (tests on one
-machine) a temporary folder stands in. A written table cuts lineage and
-survives lost executors; it goes when the driver's JVM ends.
+``spark.checkpoint.dir`` names that folder. Where it is unset, a folder in the
+warehouse stands in on a cluster, and a temporary one on a single machine. A
+written table cuts lineage and survives lost executors; it goes when the
+driver's JVM ends.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ _local: list[str] = []
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/gridloom-scratch"
     if not folder:
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="gridloom-"))
