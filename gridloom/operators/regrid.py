@@ -37,8 +37,8 @@ def replicate(cells: DataFrame, k: int) -> DataFrame:
 
 def _axis(n_in: int, n_out: int, order: int) -> Column:
     """For each output index of an axis: (input index, weight)s, corners aligned."""
-    scale = (n_in - 1) / (n_out - 1) if n_out > 1 else 0.0
-    at = lambda i: i.cast("double") * F.lit(scale)
+    # multiplied first, so that corners and other whole coordinates come out whole
+    at = lambda i: i.cast("double") * (n_in - 1) / max(n_out - 1, 1)
     if order == 0:
         taps = lambda i: F.array(F.struct(F.floor(at(i) + 0.5).cast("int").alias("from"), F.lit(1.0).alias("w"), i.alias("to")))
     else:

@@ -100,3 +100,10 @@ def hours(t_start: datetime, t_end: datetime) -> tuple[datetime, datetime]:
     whole = lambda t: t.replace(minute=0, second=0, microsecond=0)
     first, last = whole(t_start), whole(t_end)
     return first, last if last > t_start else last + timedelta(hours=1)
+
+
+def require_same_times(a: DataFrame, b: DataFrame) -> None:
+    """Refuse two time variables whose steps differ."""
+    one, other = a.select("t").distinct(), b.select(F.col("t").alias("u")).distinct()
+    if not one.join(other, F.col("t") == F.col("u"), "full_outer").where("t is null or u is null").isEmpty():
+        raise ValueError("the variables have different time axes")

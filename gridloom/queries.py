@@ -45,6 +45,12 @@ def _grid(spark: SparkSession, sf_dir: str, n: int = 32, where: str = "true") ->
     return items.groupBy(*cell).agg(F.avg("l_extendedprice").alias("value"))
 
 
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 x 32 grid with every cell; those without line items are missing."""
+    cells = Grid(32614, 500.0, 32, 32, 0.0, 16000.0).cells(spark).select("y", "x")
+    return cells.join(_grid(spark, sf_dir), ["y", "x"], "left")
+
+
 def _steps(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     value = F.when(F.col("event_id") % 7 != 0, F.col("value")) if gaps else F.col("value")
@@ -73,6 +79,9 @@ def G(n: int = 32, where: str = "true") -> str:
     return f"SELECT (l_partkey % {n})::INT AS y, (l_orderkey % {n})::INT AS x, avg(l_extendedprice) AS value FROM lineitem WHERE {where} GROUP BY 1, 2"
 
 
+DENSE = f"SELECT (i // 32)::INT AS y, (i % 32)::INT AS x, g.value FROM range(1024) t(i) LEFT JOIN ({G()}) g ON g.y = i // 32 AND g.x = i % 32"
+
+
 def E(gaps: bool = False) -> str:
     value = "CASE WHEN event_id % 7 <> 0 THEN value END" if gaps else "value"
     return f"SELECT date_trunc('day', ts)::TIMESTAMP AS t, (user_id % 8)::INT AS y, (event_id % 8)::INT AS x, avg({value}) AS value FROM events GROUP BY 1, 2, 3"
@@ -125,14 +134,13 @@ def block_replicate_2x(spark, sf_dir):
 
 
 @query(f"""
-    WITH g AS ({G()}),
+    WITH g AS ({DENSE}),
     a AS (SELECT i, least(floor(i * 31 / 47), 30)::INT AS lo, i * 31 / 47 - least(floor(i * 31 / 47), 30) AS w FROM range(48) t(i)),
     p AS (SELECT i, lo AS at, 1 - w AS w FROM a WHERE 1 - w > 0 UNION ALL SELECT i, lo + 1, w FROM a WHERE w > 0)
-    SELECT v.i::INT AS y, h.i::INT AS x, round(sum(value * v.w * h.w) + 1e-7, 4) AS value
-    FROM p v, p h, g WHERE g.y = v.at AND g.x = h.at GROUP BY 1, 2
-    HAVING count(value) = (SELECT count(*) FROM p q WHERE q.i = v.i) * (SELECT count(*) FROM p q WHERE q.i = h.i)""".replace("HAVING count(value) = (SELECT count(*) FROM p q WHERE q.i = v.i) * (SELECT count(*) FROM p q WHERE q.i = h.i)", ""))
+    SELECT v.i::INT AS y, h.i::INT AS x, CASE WHEN count(value) = count(*) THEN round(sum(value * v.w * h.w) + 1e-7, 4) END AS value
+    FROM p v, p h, g WHERE g.y = v.at AND g.x = h.at GROUP BY 1, 2""")
 def zoom_bilinear(spark, sf_dir):
-    out = regrid.zoom(_grid(spark, sf_dir), 1.5, 32, 32)
+    out = regrid.zoom(_dense(spark, sf_dir), 1.5, 32, 32)
     return out.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), _near("value").alias("value"))
 
 
@@ -145,7 +153,7 @@ def zoom_nearest(spark, sf_dir):
 
 
 @query(f"""
-    WITH g AS ({G()}),
+    WITH g AS ({DENSE}),
     n AS (SELECT c.y, c.x, max(CASE WHEN dy = -1 AND dx = -1 THEN s.value END) a, max(CASE WHEN dy = -1 AND dx = 0 THEN s.value END) b, max(CASE WHEN dy = -1 AND dx = 1 THEN s.value END) c,
                  max(CASE WHEN dy = 0 AND dx = -1 THEN s.value END) d, max(CASE WHEN dy = 0 AND dx = 1 THEN s.value END) f,
                  max(CASE WHEN dy = 1 AND dx = -1 THEN s.value END) g, max(CASE WHEN dy = 1 AND dx = 0 THEN s.value END) h, max(CASE WHEN dy = 1 AND dx = 1 THEN s.value END) i
@@ -155,7 +163,7 @@ def zoom_nearest(spark, sf_dir):
     SELECT y, x, round(degrees(atan(sqrt(dzdx * dzdx + dzdy * dzdy))) + 1e-7, 4) AS slope_deg,
            CASE WHEN dzdx = 0 AND dzdy = 0 THEN -1 ELSE round(((degrees(atan2(dzdy, -dzdx)) + 360) % 360) + 1e-7, 4) END AS aspect_deg FROM z""")
 def horn_slope_aspect(spark, sf_dir):
-    out = stencil.slope_aspect(_grid(spark, sf_dir), 500.0)
+    out = stencil.slope_aspect(_dense(spark, sf_dir), 500.0)
     return out.select("y", "x", _near("slope_deg").alias("slope_deg"), F.when(F.col("aspect_deg") < 0, F.lit(-1.0)).otherwise(_near("aspect_deg")).alias("aspect_deg"))
 
 
