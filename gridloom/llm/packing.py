@@ -29,7 +29,7 @@ from gridloom.llm.scratch import ship, written
 from gridloom.llm.textkernel import Words, slices, words_of
 
 #: Units whose ids a worker remembers.
-MEMO_ROOM = 600_000
+MEMO_ROOM = 400_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

@@ -30,6 +30,8 @@ from gridloom.llm.scratch import partitions, ship, written
 from gridloom.llm.textkernel import Words, grams, mixed, slices, words_of
 
 GRAM = 4
+#: Bytes of text in which packed strings that repeat are dropped before they travel.
+SLICE = 6 << 20
 #: Buckets for each shuffle partition.
 SPREAD = 8
 #: A slice reports minimisers with so many packed strings.
@@ -117,7 +119,7 @@ class _Runs:
 def _reports(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Frequent minimisers of each slice, and under the null key its number of strings."""
     for batch in batches:
-        for part in slices(batch, 2):
+        for part in slices(batch, 2, SLICE):
             runs = _Runs(part, size, np.zeros(0, np.uint64))
             if not len(runs.start):
                 continue
@@ -133,7 +135,7 @@ _FIELDS = (("doc", np.int64), ("print", np.int32), ("start", np.int32), ("n", np
 
 def _packed(batches: Iterator[pa.RecordBatch], size: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 2):
+        for part in slices(batch, 2, SLICE):
             runs = _Runs(part, size, hot)
             if not len(runs.start):
                 continue
