@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.scratch import partitions, ship, written
 from gridloom.llm.textkernel import Words, grams, mixed, slices, words_of
 
-GRAM = 4
+GRAM = 3
 #: Bytes of text in which packed strings that repeat are dropped before they travel.
 SLICE = 6 << 20
 #: Buckets for each shuffle partition.
@@ -39,7 +39,7 @@ REPORTED = 8
 #: A minimiser is hot from this many reported strings on, or from the share below.
 LEAST_HOT = 500
 _LAST = np.iinfo(np.int64).max
-_CODEC = pa.Codec("zstd", 3)
+_CODEC = pa.Codec("zstd", 5)
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
