@@ -17,7 +17,8 @@
 5. Connected components of the links, joined back through the classes.
 
 A node that is still too large at ``DEPTH`` agrees in that many minwise values;
-it is cut into blocks that share the node's first row.
+it is cut into blocks, and every block meets every other one in a leaf of its own,
+so no pair of the node is left out.
 """
 
 from __future__ import annotations
@@ -228,13 +229,11 @@ def similarity_links(classes: DataFrame, keyed: DataFrame, size: int, similar: t
         large = rows.where(F.col("rows") > LEAF).drop("rows")
         if large.isEmpty():
             break
-        if level == DEPTH:  # blocks by hash of about half a leaf, each with the node's first row
-            blocks = sizes.where(F.col("rows") > LEAF).withColumn("blocks", F.ceil(F.col("rows") * 2 / LEAF))
-            block = F.xxhash64("path", F.pmod(F.xxhash64("v"), F.col("blocks")))
-            leaves.append(large.join(blocks.drop("rows"), "path").select(block.alias("path"), "v"))
-            heads = large.groupBy("path").agg(F.min("v").alias("v")).join(blocks.drop("rows"), "path")
-            heads = heads.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            leaves.append(heads.select(F.xxhash64("path", F.col("block")).alias("path"), "v"))
+        if level == DEPTH:  # blocks by hash of about half a leaf: a leaf holds two, and each two share one
+            blocks = sizes.where(F.col("rows") > LEAF).withColumn("blocks", F.ceil(F.col("rows") * 2 / LEAF)).drop("rows")
+            dealt = large.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> other")
+            leaves.append(dealt.select(F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("path"), "v"))
             break
         rows = large.join(slim, "v").select("path", "v", "signature").mapInArrow(branch, "path long, v binary")
     together = leaves[0]

@@ -66,6 +66,25 @@ def test_matches_brute_force(spark, monkeypatch):
     assert sum(a == b for a, b in zip(want, got)) >= 0.95 * len(want)
 
 
+def test_oversize_nodes_lose_no_pair(spark, monkeypatch):
+    from tests.llm.conftest import frame
+
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(150)]
+    rows = []
+    for k in range(90):  # ten versions of a template, whose ids aren't the least, and variants of them
+        words = list(template)
+        for at in [15 * (k % 10)] if k < 10 else rng.sample(range(2, 148), 2):
+            words[at] = f"v{k}-{at}"
+        rows.append((1000 + k if k < 10 else 2 * k + 1, " ".join(words)))
+    monkeypatch.setattr(minhash, "LEAF", 6)
+    monkeypatch.setattr(minhash, "DEPTH", 1)
+    docs = frame(spark, [(i, t, None) for i, t in rows])
+    want = brute(rows, 3, (87, 100))
+    assert sum(kept for *_, kept in want) < len(want) / 2
+    assert sorted(map(tuple, near_dedup(docs, 3, (87, 100)).collect()), key=str) == want
+
+
 def test_awkward_rows(spark, awkward, nothing):
     rows = near_dedup(awkward).collect()
     assert len(rows) == awkward.count()
