@@ -73,8 +73,15 @@ class _Runs:
             self.doc = np.array([_LAST if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
         self.print = batch.column("print").to_numpy(zero_copy_only=False).astype(np.int32)
         order = np.lexsort((self.print, self.doc))
+        # rows that repeat id and text are one document
+        again = np.zeros(len(order), bool)
+        again[1:] = (self.doc[order][1:] == self.doc[order][:-1]) & (self.print[order][1:] == self.print[order][:-1])
+        text = batch.column("text")
+        for k in np.flatnonzero(again).tolist():
+            again[k] = text[int(order[k])].as_py() == text[int(order[k - 1])].as_py()
+        order = order[~again]
         self.doc, self.print = self.doc[order], self.print[order]
-        self.words = words_of(batch.column("text").take(pa.array(order)))
+        self.words = words_of(text.take(pa.array(order)))
         h = self.words.hashes()
         at = _window_starts(self.words, size)
         if not len(at):
@@ -202,7 +209,15 @@ def _same_as_before(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 def _bucket(group: pa.Table, size: int) -> pa.Table:
     heads, texts = _unpacked(group.column("payload").to_pylist())
-    order = np.lexsort((heads["start"], heads["print"], heads["doc"]))
+    # a string that another slice sent of a row with the same id and text is one with this; known repeats stand first
+    order = np.lexsort((heads["bytes"], heads["start"], heads["print"], heads["doc"]))
+    place = np.stack([heads[k][order] for k in ("doc", "print", "start")])
+    again = np.zeros(len(order), bool)
+    again[1:] = (place[:, 1:] == place[:, :-1]).all(axis=0)
+    for k in np.flatnonzero(again).tolist():
+        i, j = order[k - 1], order[k]
+        again[k] = not heads["bytes"][i] or texts[i] == texts[j]
+    order = order[~again]
     heads = {k: v[order].astype(np.int64) for k, v in heads.items()}
     texts = [texts[i] for i in order]
     sent = heads["bytes"] > 0

@@ -88,6 +88,19 @@ def test_colliding_window_hashes_are_told_apart(monkeypatch):
     assert got.tolist() == [False] * 6 + [True]
 
 
+def test_repeated_rows_are_one_document(spark, monkeypatch):
+    from tests.llm.conftest import frame
+
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(1, a), (2, b + " x " + b), (3, a + " new"), (None, b)]
+    want = sorted(brute(rows, 20) * 3, key=str)
+    docs = frame(spark, [(i, t, None) for i, t in rows * 3])
+    for least_hot in (500, 1):
+        monkeypatch.setattr(substrings, "LEAST_HOT", least_hot)
+        for parts in (1, 4):
+            assert sorted(map(tuple, substring_dedup(docs.repartition(parts)).collect()), key=str) == want
+
+
 def test_awkward_rows(spark, awkward, nothing):
     rows = substring_dedup(awkward, with_text=True).collect()
     assert len(rows) == awkward.count()
