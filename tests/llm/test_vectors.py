@@ -55,5 +55,13 @@ def test_matches_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, embedding_dedup(frame).collect()), key=str) == want
 
 
+def test_links_far_from_the_plane_are_found(spark):
+    # on a circle links lie across the planes: one end far from it, the other right behind it
+    angles = np.random.default_rng(6).uniform(0, 2 * np.pi, 150)
+    rows = [(k, [float(np.float32(np.cos(a))), float(np.float32(np.sin(a)))]) for k, a in enumerate(angles)]
+    frame = spark.createDataFrame([(i, v, None, "c", 7) for i, v in rows], SCHEMA)
+    assert sorted(map(tuple, embedding_dedup(frame).collect()), key=str) == brute(rows, 0.9)
+
+
 def test_no_rows(spark):
     assert embedding_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
