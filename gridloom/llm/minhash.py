@@ -213,7 +213,7 @@ def similarity_links(classes: DataFrame, keyed: DataFrame, size: int, similar: t
     spark = classes.sparkSession
     share = similar[0] / similar[1]
     again = min(1.0, 1 / share - 1)
-    # estimates of linked pairs fall below this about once in 100,000
+    # estimates of pairs at the threshold fall below this 3.1 (0.85) or 1.3 (0.8) times in 100,000
     least = max(1, int(VALUES * share - 4.3 * (VALUES * share * (1 - share)) ** 0.5))
     spread = partitions(spark)
     branch = lambda it: _branched(it, again)
