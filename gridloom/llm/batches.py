@@ -1,13 +1,35 @@
-"""Groups of rows in a sorted stream of Arrow batches, and a union-find of one group."""
+"""Functions of Arrow batches: what workers give back, groups of rows, a union-find of one group."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 
+def lean(function: Callable) -> Callable:
+    """``function`` of batches, whose worker gives its free memory back when it ends.
+
+    Workers wait for more tasks beside the next stages.
+    """
+
+    @functools.wraps(function)
+    def run(batches: Iterator[pa.RecordBatch], *more) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches, *more)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return run
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """Rows of each key, whole; the input is sorted by the key."""
     held: list[pa.RecordBatch] = []

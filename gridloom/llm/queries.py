@@ -90,14 +90,20 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": """
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
              u AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
-             f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM u WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-             n AS (SELECT *, lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2 FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-             r AS (SELECT doc_id, pos, length(line) >= 120 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS one,
-                          l2 IS NOT NULL AND row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, pos) > 1 AS three FROM n),
-             g AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM r WHERE one UNION ALL SELECT doc_id, pos + k AS pos FROM r, range(3) t(k) WHERE three)),
-             m AS (SELECT u.doc_id, u.line, u.i, f.pos, g.pos AS gone FROM u LEFT JOIN f ON f.doc_id = u.doc_id AND f.i = u.i LEFT JOIN g ON g.doc_id = f.doc_id AND g.pos = f.pos)
-        SELECT doc_id, count(pos) AS n_lines, count(gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL), '')) AS kept_sha256
-        FROM m GROUP BY doc_id""",
+             f AS (SELECT *, row_number() OVER w AS pos, sum(length(line)) OVER w AS upto FROM u WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+             p AS (SELECT x.doc_id, x.pos, y.doc_id AS other, x.pos - y.pos AS shift FROM f x JOIN f y ON x.line = y.line AND (y.doc_id < x.doc_id OR y.doc_id = x.doc_id AND y.pos < x.pos)),
+             g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY pos) AS island FROM p),
+             e AS (SELECT doc_id, pos, max(pos) OVER (PARTITION BY doc_id, other, shift, island) - pos + 1 AS n FROM g),
+             m AS (SELECT doc_id, pos, max(n) AS n FROM e GROUP BY doc_id, pos),
+             r AS (SELECT m.*, coalesce(before.n, 0) <= m.n AS maximal FROM m LEFT JOIN m before ON before.doc_id = m.doc_id AND before.pos = m.pos - 1),
+             k AS (SELECT r.doc_id, r.pos, r.n FROM r JOIN f a ON a.doc_id = r.doc_id AND a.pos = r.pos JOIN f b ON b.doc_id = r.doc_id AND b.pos = r.pos + r.n - 1
+                   WHERE maximal AND b.upto - a.upto + length(a.line) >= 40),
+             x AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM k),
+             t AS (SELECT u.doc_id, u.line, u.i, f.pos, x.pos AS gone FROM u LEFT JOIN f ON f.doc_id = u.doc_id AND f.i = u.i LEFT JOIN x ON x.doc_id = f.doc_id AND x.pos = f.pos),
+             s AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run FROM k GROUP BY doc_id)
+        SELECT t.doc_id, count(pos) AS n_lines, count(gone) AS n_removed, coalesce(any_value(n_runs), 0)::BIGINT AS n_runs, coalesce(any_value(longest_run), 0)::BIGINT AS longest_run,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL), '')) AS kept_sha256
+        FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",

@@ -2,8 +2,9 @@
 
 ``spark.checkpoint.dir`` names that folder. Where it is unset, a folder in the
 warehouse stands in on a cluster, and a temporary one on a single machine. A
-written table cuts lineage and survives lost executors; it goes when the
-driver's JVM ends.
+written table cuts lineage and survives lost executors. Slim tables that are
+only read twice, outside loops, are ``kept`` on two executors' disks instead.
+Both go with ``release``, or when the driver's JVM ends.
 """
 
 from __future__ import annotations
@@ -13,9 +14,16 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Shuffle partitions are sized for texts; of so many one task writes a slim table, unless few are left.
+SLIM, FEW = 8, 24
 
 _local: list[str] = []
+_kept: list[DataFrame] = []
+_paths: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,17 +43,54 @@ def new_path(spark: SparkSession, tag: str) -> str:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _paths.append(path)
     return path
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again."""
+def written(df: DataFrame, tag: str, slim: bool = True) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again.
+
+    ``slim``: rows without texts, for which fewer tasks will do.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    (df.coalesce(max(FEW, partitions(spark) // SLIM)) if slim else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` on two executors' disks once it is computed; a loss of both computes it again.
+
+    For slim tables that later steps read more than once, not for loops: the
+    lineage stays. What is kept must come out the same when computed again.
+    """
+    local = df.sparkSession.sparkContext.master.startswith("local[")
+    df = df.persist(StorageLevel.DISK_ONLY if local else StorageLevel.DISK_ONLY_2)
+    _kept.append(df)
+    return df
+
+
+def release(spark: SparkSession) -> None:
+    """Drop all kept and written tables: results that are still to be read must be stored before."""
+    while _kept:
+        _kept.pop().unpersist()
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        at.getFileSystem(hadoop).delete(at, True)
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; a null has another key than an empty text."""
+    return F.unhex(F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+
+
+def row_key(docs: DataFrame, text: str = "text") -> Column:
+    """128 bits that stand for a row's values in all columns, whatever their names."""
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]), {"ignoreNullFields": "false"})
+    return F.unhex(F.md5(F.concat(F.hex(text_key(F.col(f"`{text}`"))), F.lit("|"), rest).cast("binary")))
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a ``written`` table that is no longer read."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
