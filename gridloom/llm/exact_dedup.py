@@ -9,36 +9,89 @@ plain equi-join whose large groups adaptive execution can split.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import new_path, partitions, written
+from gridloom.llm.scratch import kept, new_path, partitions, written
 
 _LEAST = -(2**63)
+_VERSION = re.compile(r"buckets-(\d+)-v(\d+)$")
 
 
 class DigestIndex:
-    """A digest index at ``path``; ``buckets`` is fixed when it is created."""
+    """A digest index in the folder ``path``, kept from session to session.
+
+    Its files lie in a folder ``buckets-B-vN``: the number of buckets is part of
+    the index, whatever the session's shuffle partitions are, and opening it
+    with another one is refused. Appends leave several files a bucket;
+    ``compact`` writes one each, as version N + 1, and the greatest version that
+    is whole counts, so a compaction that breaks off changes nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path = spark, path
-        self.buckets = buckets or partitions(spark)
-        self.table = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+        self.spark, self.path = spark, path.rstrip("/")
+        found = self._versions()
+        if found and buckets and buckets != found[-1][1]:
+            raise ValueError(f"the index at {path} has {found[-1][1]} buckets, not {buckets}")
+        self.version, self.buckets = found[-1] if found else (0, buckets or partitions(spark))
+        self.table = self._table(self.version)
+
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[tuple[int, int]]:
+        at, fs = self._fs(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        whole = [m for m in map(_VERSION.match, names) if m and (m[2] == "0" or self._sealed(m[0]))]
+        return sorted((int(m[2]), int(m[1])) for m in whole)
+
+    def _sealed(self, name: str) -> bool:
+        at, fs = self._fs(f"{self.path}/{name}.whole")
+        return fs.exists(at)
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/buckets-{self.buckets}-v{version}"
+
+    def _table(self, version: int) -> str:
+        at, fs = self._fs(self._folder(version))
+        fs.mkdirs(at)
+        table = f"digest_index_{uuid.uuid4().hex}"
+        self.spark.sql(
+            f"CREATE TABLE {table} (digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self._folder(version)}'"
         )
+        return table
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def _append(self, fresh: DataFrame, table: str, version: int) -> None:
+        writer = fresh.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
+        writer.option("path", self._folder(version)).saveAsTable(table)
+
     def append(self, fresh: DataFrame) -> None:
-        (
-            fresh.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
-            .option("path", self.path).saveAsTable(self.table)
-        )
+        # dealt by digest, so that each bucket gets one file
+        self._append(fresh.repartition(self.buckets, "digest"), self.table, self.version)
+
+    def compact(self) -> None:
+        """One sorted file a bucket again; the bucketed read needs no shuffle."""
+        version = self.version + 1
+        at, fs = self._fs(self._folder(version))
+        fs.delete(at, True)  # what a compaction that broke off has left
+        table = self._table(version)
+        rows = self.spark.read.schema(self.rows().schema).parquet(self._folder(self.version))
+        self._append(rows.repartition(self.buckets, "digest"), table, version)
+        seal, _ = self._fs(f"{self._folder(version)}.whole")
+        fs.create(seal).close()
+        old, old_folder = self.table, self._folder(self.version)
+        self.table, self.version = table, version
+        self.spark.sql(f"DROP TABLE IF EXISTS {old}")
+        for name in (old_folder, f"{old_folder}.whole"):
+            fs.delete(self._fs(name)[0], True)
 
     def close(self) -> None:
         """Forget the table's name; the files stay."""
@@ -61,14 +114,14 @@ class DigestIndex:
                 F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("digest"),
             ).withColumn("row", F.monotonically_increasing_id()),
             "digests",
+            slim=False,
         )
-        groups = written(
+        groups = kept(
             rows.groupBy("digest").agg(
                 F.max("doc_id").alias("keep_id"),
                 F.max_by("row", F.coalesce("doc_id", F.lit(_LEAST))).alias("keep_row"),
                 F.count(F.lit(1)).alias("group_size"),
-            ),
-            "groups",
+            )
         )
         fresh = groups.hint("merge").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         self.append(fresh.select("digest", "keep_id", "keep_row", F.lit(batch).alias("batch")))

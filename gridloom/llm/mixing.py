@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import written
+from gridloom.llm.scratch import FEW, kept, partitions, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -104,7 +104,8 @@ def mix_sources(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM,
     """The mix, one row per input row, range-sorted by first training position.
 
     Columns: doc_id, source, size, source_size, target, copies (times the mix
-    takes the whole document), taken (copies * size), positions (of each copy), print (a hash of the text).
+    takes the whole document), taken (copies * size), positions (of each copy),
+    first_position (null if not taken) and row_key (128 bits of all columns).
     Within a source documents come in the order of md5(doc_id); copy k is taken
     if its middle lies before the source's target, so the words taken differ
     from the target by half a document at most, and no document is taken more
@@ -112,45 +113,46 @@ def mix_sources(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM,
 
     Null text has size 0 and is not taken; null sources form one source, the
     last; rows repeating an id, null ids included, are documents of their own.
-    Other columns are ignored; no rows give no rows. With no words at all,
-    targets are 0.
+    Other columns only tell rows apart; no rows give no rows. With no words at
+    all, targets are 0.
     """
-    slim = written(
+    mixed = _mix(docs, curriculum, cap, size)
+    return mixed.orderBy(F.col("first_position").asc_nulls_last(), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+
+
+def _mix(docs: DataFrame, curriculum: tuple[Schedule, ...], cap: int, size: Column | None) -> DataFrame:
+    slim = kept(
         docs.select(
             F.col("doc_id"),
             F.col("source").cast("string").alias("source"),
             (word_count(F.col("text")) if size is None else size).alias("size"),
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"),
-            F.hash("text").alias("print"),
-        ).withColumn("part", F.substring("place", 1, 3)),
-        "mix-sizes",
+            row_key(docs).alias("row_key"),
+        ).withColumn("part", F.substring("place", 1, 3))
     )
     key = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "part"]
-    keyed = slim.select("doc_id", "source", "size", "place", "print", *key)
-    parts = written(keyed.groupBy("s", "none", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
+    keyed = slim.select("doc_id", "source", "size", "place", "row_key", *key)
+    # 4096 rows a source at most, however many documents
+    parts = kept(keyed.groupBy("s", "none", "part").agg(F.sum("size").alias("part_size")).coalesce(FEW))
     ahead = Window.partitionBy("s", "none").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("start", F.coalesce(F.sum("part_size").over(ahead), F.lit(0))).drop("part_size")
     sources = parts.groupBy("s", "none").agg(F.sum("part_size").alias("source_size"))
     sources = sources.withColumn("source", F.when(~F.col("none"), F.col("s")))
     targets = source_targets(sources.select("source", "source_size"), curriculum, cap)
     targets = targets.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull()).drop("source")
-    heads = written(starts.join(targets, ["s", "none"]), "mix-heads")
-    within = Window.partitionBy("s", "none", "part").orderBy("place", "size", "print").rowsBetween(Window.unboundedPreceding, -1)
+    heads = starts.join(targets, ["s", "none"])
+    within = Window.partitionBy("s", "none", "part").orderBy("place", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.col("start") + F.col("inner")
     passes = F.sequence(F.lit(0), F.lit(cap - 1))
-    mixed = (
+    return (
         keyed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(heads, ["s", "none", "part"])
         .withColumn("begins", F.transform(passes, lambda k: k * F.col("source_size") + offset))
         .withColumn("begins", F.filter("begins", lambda b: (F.col("size") > 0) & (b + F.col("size") / 2 <= F.col("target"))))
         .withColumn("positions", F.transform("begins", lambda b: position(F.col("pieces"), b / F.col("target"))))
         .withColumn("copies", F.size("positions"))
-    )
-    first = F.element_at(F.when(F.col("copies") > 0, F.col("positions")), 1)
-    return (
-        mixed.withColumn("first", first)
-        .orderBy(F.col("first").asc_nulls_last(), "place")
-        .select("doc_id", "source", "size", "source_size", "target", F.col("copies"), (F.col("copies") * F.col("size")).alias("taken"), "positions", "print")
+        .withColumn("first_position", F.element_at(F.when(F.col("copies") > 0, F.col("positions")), 1))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions", "first_position", "row_key")
     )
 
 
@@ -163,15 +165,22 @@ def training_order(mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, curriculum: tuple[Schedule, ...] = CURRICULUM, cap: int = 3) -> DataFrame:
     """The mix itself: ``docs``' rows, each as often as it is taken, in training order.
 
-    Rows that repeat id, source and text are one document, taken as often as
-    they are together.
+    Positions are times, through which tokens pass evenly: equal parts of time
+    make partitions of about equal size, in order, without a sample. Rows that
+    are alike in every column are one document, taken as often as they are
+    together. Columns may have any names; no rows give no rows.
     """
-    taken = mix_sources(docs, curriculum, cap).where("copies > 0")
-    keys = {"doc_id": F.col("doc_id"), "source": F.col("source").cast("string"), "print": F.hash("text")}
-    plan = written(taken.groupBy(*keys).agg(F.flatten(F.collect_list("positions")).alias("positions")), "mix-plan")
-    plan = plan.select(*[F.col(k).alias(f"to_{k}") for k in keys], "positions").hint("shuffle_hash")
-    held = docs.select(*[c.alias(f"by_{k}") for k, c in keys.items()], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    met = held.join(plan, F.col("by_doc_id").eqNullSafe(F.col("to_doc_id")) & F.col("by_source").eqNullSafe(F.col("to_source")) & (F.col("by_print") == F.col("to_print")))
-    once = met.dropDuplicates([f"by_{k}" for k in keys])
-    copies = once.select("row", F.explode("positions").alias("at"))
-    return copies.orderBy("at", F.col("row.doc_id")).select("row.*")
+    spark = docs.sparkSession
+    taken = _mix(docs, curriculum, cap, None).where("copies > 0")
+    plan = taken.groupBy("row_key").agg(F.flatten(F.collect_list("positions")).alias("positions"), F.count(F.lit(1)).alias("alike"))
+    held = docs.select(row_key(docs).alias("by"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+
+    def met(which) -> DataFrame:
+        return held.join(plan.where(which).hint("shuffle_hash"), F.col("by") == F.col("row_key"))
+
+    once = met(F.col("alike") == 1).unionAll(met(F.col("alike") > 1).dropDuplicates(["by"]))
+    copies = once.select("row", "by", F.explode("positions").alias("at"))
+    n = partitions(spark)
+    turn = F.least(F.lit(n - 1), F.floor(F.col("at") * n)).cast("int")
+    ordered = copies.repartitionById(n, turn).sortWithinPartitions("at", "by")
+    return ordered.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -21,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import ship, written
+from gridloom.llm.batches import lean
+from gridloom.llm.scratch import ship
 from gridloom.llm.textkernel import Words, grams, mixed, slices, words_of
 
 #: Places of hashed features, labelled rows of each class, and rows that hold a feature at least.
 SIZE, LABELLED, SEEN = 1 << 20, 2500, 3
-#: Of the labelled rows, every so manieth fits the curve; passes of the descent; its cost.
-CURVE, PASSES, COST = 4, 12, 1.0
+#: Of the labelled rows, every so manieth fits the curve; cost of the descent.
+CURVE, COST = 4, 1.0
+#: The descent ends when no dual's projected gradient in a pass exceeds this, or after so many passes.
+GRADIENT, PASSES = 0.01, 100
 
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
@@ -102,15 +105,20 @@ def _descent(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray
     dual, rng = np.zeros(len(rows)), np.random.default_rng(11)
     norms = np.array([v @ v for v in values]) + 1
     for _ in range(passes):
+        steepest = 0.0
         for i in rng.permutation(len(rows)):
             at, x, y = rows[i], values[i], signs[i]
             slack = y * (w[at] @ x + bias) - 1
+            # at a bound only the way back counts
+            steepest = max(steepest, -slack if not dual[i] else slack if dual[i] == costs[i] else abs(slack))
             new = min(max(dual[i] - slack / norms[i], 0.0), costs[i])
             if new != dual[i]:
                 step = (new - dual[i]) * y
                 w[at] += step * x
                 bias += step
                 dual[i] = new
+        if steepest < GRADIENT:
+            break
     return w, bias
 
 
@@ -166,6 +174,7 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
+@lean
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 1):
@@ -178,23 +187,25 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labels of rows that aren't held out.
 
     Labels other than 0 and 1, null ids, ids labelled both ways and labels
-    without a document are passed over; labels that repeat count once.
+    without a document are passed over; labels and ids that repeat count once
+    (an id with several texts by the least of them).
     """
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and id is not null")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
-    known = written(known, "labels")
     share = known.agg(F.avg("quality")).first()[0]
     place = F.xxhash64("id")
     picked = [known.where(F.col("quality") == y).withColumn("place", place).orderBy("place", "id").limit(LABELLED) for y in (0, 1)]
-    # 2 * LABELLED rows at most
+    # 2 * LABELLED rows at most; of an id that repeats, the least text counts
     some = F.broadcast(picked[0].unionAll(picked[1]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(some, "id").select("quality", "text", "place")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(some, "id")
+    texts = texts.groupBy("id", "quality", "place").agg(F.min("text").alias("text")).select("quality", "text", "place")
     rows = texts.mapInArrow(_featured, "quality int, place long, features binary").toArrow()
     rows = sorted(zip(rows.column("place").to_pylist(), rows.column("features").to_pylist(), rows.column("quality").to_pylist()))
     return fitted([np.frombuffer(f, np.int32) for _, f, _ in rows], np.array([y for _, _, y in rows], np.int64), share if share is not None else 0.5)
 
 
+@lean
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, batch.schema.get_field_index("text_in")):
@@ -202,19 +213,23 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores)], [*part.schema.names[:-1], "score"])
 
 
+def _wide_scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """c0, c1 .. (the columns ``keep``) and score."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)  # SIZE numbers, however many documents
+    wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("text_in"))
+    schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "score double"])
+    return wide.mapInArrow(lambda it: _scored(it, shared.value), schema)
+
+
 def score_quality(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row of ``docs`` and its text's score, 0 to 1.
 
     Null and empty texts, which have no features, get the curve's value at the
     model's bias. Columns may have any names; no rows give no rows.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # SIZE numbers, however many documents
-    wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("text_in"))
-    schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "score double"])
-    scored = wide.mapInArrow(lambda it: _scored(it, shared.value), schema)
-    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return _wide_scores(docs, model, keep).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -225,5 +240,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without those that score below ``least``."""
-    scored = score_quality(docs, train_quality(docs, labels), docs.columns)
-    return scored.where(F.col("score") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = _wide_scores(docs, train_quality(docs, labels), docs.columns)
+    return scored.where(F.col("score") >= least).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

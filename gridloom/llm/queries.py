@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.lines import line_report
@@ -30,7 +31,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    mix = mix_sources(_documents(spark, sf_dir))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", F.col("copies").cast("long").alias("copies"), F.round("first_position", 9).alias("first_position"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,11 +84,16 @@ ORACLE_SQL: dict[str, str] = {
              w AS (SELECT *, CASE kind WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS most FROM k),
              l AS (SELECT *, (sum(source_size) OVER ()::BIGINT - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
                               / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS level FROM w),
-             t AS (SELECT source, source_size, least(most::DOUBLE, weight * (SELECT arg_min(level, most / weight) FROM l WHERE level * weight <= most)) AS target FROM l),
-             o AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d)
-        SELECT doc_id, size, source_size, target,
-               (size * (CASE WHEN size > 0 THEN (start + size / 2 <= target)::INT + (start + source_size + size / 2 <= target)::INT + (start + 2 * source_size + size / 2 <= target)::INT ELSE 0 END))::BIGINT AS taken
-        FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source""",
+             t AS (SELECT source, source_size, kind, least(most::DOUBLE, weight * (SELECT arg_min(level, most / weight) FROM l WHERE level * weight <= most)) AS target FROM l),
+             o AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
+             c AS (SELECT o.*, t.source_size, target, kind, CASE WHEN size > 0 THEN (start + size / 2 <= target)::BIGINT + (start + t.source_size + size / 2 <= target)::BIGINT + (start + 2 * t.source_size + size / 2 <= target)::BIGINT ELSE 0 END AS copies,
+                          start / target AS share FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source),
+             q AS (SELECT *, CASE WHEN kind = 2 AND share >= 0.2 / 0.9 THEN 0.5 ELSE 0 END AS t0, CASE WHEN kind = 2 AND share >= 0.2 / 0.9 THEN 0.2 / 0.9 ELSE 0 END AS g0,
+                          CASE WHEN kind = 0 THEN 1.5 WHEN kind = 1 THEN 1 WHEN share >= 0.2 / 0.9 THEN 0.6 / 0.9 ELSE 0.2 / 0.9 END::DOUBLE AS h0,
+                          CASE WHEN kind = 0 THEN -1 WHEN kind = 1 THEN 0 WHEN share >= 0.2 / 0.9 THEN 3.2 / 0.9 ELSE 0.8 / 0.9 END::DOUBLE AS slope FROM c)
+        SELECT doc_id, size, source_size, target, size * copies AS taken, copies,
+               CASE WHEN copies > 0 THEN round(least(1, t0 + 2 * (share - g0) / (h0 + sqrt(greatest(0, h0 * h0 + 2 * slope * (share - g0))))), 9) END AS first_position
+        FROM q""",
     "op3_line_dedup": """
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
              u AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),

@@ -12,8 +12,11 @@ the codes, and neighbours are compared code by code.
   surroundings) are found first, from counts of each slice. Their windows travel
   one by one to buckets chosen by the window itself, so no bucket grows with a
   passage's copies by more than one string for each slice.
-* Buckets are a multiple of ``spark.sql.shuffle.partitions``, which is to be set
-  for the input's size.
+* Buckets are as many as the packed strings' bytes ask for, which the same counts
+  give; a task takes several, one at a time.
+
+A document is known by its id and a 64-bit hash of its text; without an id, by two
+such hashes.
 """
 
 from __future__ import annotations
@@ -26,19 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import partitions, ship, written
+from gridloom.llm.batches import lean
+from gridloom.llm.scratch import kept, partitions, ship
 from gridloom.llm.textkernel import Words, grams, mixed, slices, words_of
 
 GRAM = 3
 #: Bytes of text in which packed strings that repeat are dropped before they travel.
 SLICE = 6 << 20
-#: Buckets for each shuffle partition.
-SPREAD = 8
+#: Bytes of packed strings in a bucket and in a task, about, before compression.
+BUCKET_BYTES, TASK_BYTES = 6 << 20, 48 << 20
 #: A slice reports minimisers with so many packed strings.
 REPORTED = 8
 #: A minimiser is hot from this many reported strings on, or from the share below.
 LEAST_HOT = 500
-_LAST = np.iinfo(np.int64).max
+_WHO = ("none", "doc", "print")
 _CODEC = pa.Codec("zstd", 5)
 
 
@@ -67,20 +71,16 @@ class _Runs:
     """Packed strings of a slice: first window, windows, minimiser, in document order."""
 
     def __init__(self, batch: pa.RecordBatch, size: int, hot: np.ndarray):
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        self.doc = np.where(np.isnan(ids), _LAST, ids).astype(np.int64) if ids.dtype.kind == "f" else ids.astype(np.int64)
-        if batch.column("doc_id").null_count:
-            self.doc = np.array([_LAST if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
-        self.print = batch.column("print").to_numpy(zero_copy_only=False).astype(np.int32)
-        order = np.lexsort((self.print, self.doc))
+        who = [batch.column(c).to_numpy(zero_copy_only=False) for c in _WHO]
+        order = np.lexsort(who[::-1])
         # rows that repeat id and text are one document
         again = np.zeros(len(order), bool)
-        again[1:] = (self.doc[order][1:] == self.doc[order][:-1]) & (self.print[order][1:] == self.print[order][:-1])
+        again[1:] = np.all([c[order][1:] == c[order][:-1] for c in who], axis=0)
         text = batch.column("text")
         for k in np.flatnonzero(again).tolist():
             again[k] = text[int(order[k])].as_py() == text[int(order[k - 1])].as_py()
         order = order[~again]
-        self.doc, self.print = self.doc[order], self.print[order]
+        self.who = [c[order] for c in who]
         self.words = words_of(text.take(pa.array(order)))
         h = self.words.hashes()
         at = _window_starts(self.words, size)
@@ -123,26 +123,29 @@ class _Runs:
         return repeat, text, begin, end
 
 
+@lean
 def _reports(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Frequent minimisers of each slice, and under the null key its number of strings."""
+    """Frequent minimisers of each slice, and under the null key its number of strings and their bytes."""
     for batch in batches:
-        for part in slices(batch, 2, SLICE):
+        for part in slices(batch, 3, SLICE):
             runs = _Runs(part, size, np.zeros(0, np.uint64))
             if not len(runs.start):
                 continue
-            repeat = runs.repeats(size)[0]
+            repeat, _, begin, end = runs.repeats(size)
+            length = int((end - begin)[~repeat].sum())
             keys, n = np.unique(runs.key[~repeat], return_counts=True)
             often = n >= REPORTED
             out = [None, *keys[often].view(np.int64).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array([int(n.sum()), *n[often].tolist()], pa.int64())], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array([int(n.sum()), *n[often].tolist()], pa.int64()), pa.array([length] + [0] * int(often.sum()), pa.int64())], ["key", "n", "bytes"])
 
 
-_FIELDS = (("doc", np.int64), ("print", np.int32), ("start", np.int32), ("n", np.int32), ("bytes", np.int32))
+_FIELDS = (("none", np.int8), ("doc", np.int64), ("print", np.int64), ("start", np.int32), ("n", np.int32), ("bytes", np.int32))
 
 
+@lean
 def _packed(batches: Iterator[pa.RecordBatch], size: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 2, SLICE):
+        for part in slices(batch, 3, SLICE):
             runs = _Runs(part, size, hot)
             if not len(runs.start):
                 continue
@@ -151,8 +154,7 @@ def _packed(batches: Iterator[pa.RecordBatch], size: int, buckets: int, hot: np.
             doc = np.searchsorted(runs.words.first, runs.start, "right") - 1
             order = np.argsort(bucket, kind="stable")
             columns = {
-                "doc": runs.doc[doc][order],
-                "print": runs.print[doc][order],
+                **{k: c[doc][order] for k, c in zip(_WHO, runs.who)},
                 "start": (runs.start - runs.words.first[doc])[order],
                 "n": runs.n[order],
                 "bytes": np.where(repeat, 0, end - begin)[order],
@@ -210,8 +212,8 @@ def _same_as_before(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 def _bucket(group: pa.Table, size: int) -> pa.Table:
     heads, texts = _unpacked(group.column("payload").to_pylist())
     # a string that another slice sent of a row with the same id and text is one with this; known repeats stand first
-    order = np.lexsort((heads["bytes"], heads["start"], heads["print"], heads["doc"]))
-    place = np.stack([heads[k][order] for k in ("doc", "print", "start")])
+    order = np.lexsort((heads["bytes"], heads["start"], heads["print"], heads["doc"], heads["none"]))
+    place = np.stack([heads[k][order].astype(np.int64) for k in (*_WHO, "start")])
     again = np.zeros(len(order), bool)
     again[1:] = (place[:, 1:] == place[:, :-1]).all(axis=0)
     for k in np.flatnonzero(again).tolist():
@@ -235,10 +237,10 @@ def _bucket(group: pa.Table, size: int) -> pa.Table:
     who = np.concatenate([owner[new], np.flatnonzero(~sent)])
     a = np.concatenate([where[new], heads["start"][~sent]])
     b = np.concatenate([where[last], heads["start"][~sent] + n[~sent] - 1])
-    doc = heads["doc"][who]
     return pa.table({
-        "doc_id": pa.array(doc, pa.int64(), mask=doc == _LAST),
-        "print": pa.array(heads["print"][who].astype(np.int32)),
+        "none": pa.array(heads["none"][who].astype(np.int32)),
+        "doc": pa.array(heads["doc"][who]),
+        "print": pa.array(heads["print"][who]),
         "span": pa.array(a << 32 | b + size),
     })
 
@@ -253,6 +255,7 @@ def _removed_words(spans: list[int] | None, n: int) -> np.ndarray | None:
     return np.cumsum(step)[:n] > 0
 
 
+@lean
 def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -290,21 +293,24 @@ def substring_dedup(docs: DataFrame, size: int = 20, with_text: bool = False) ->
     """
     spark = docs.sparkSession
     ship(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("print"), "text")
-    with_words = slim.where(F.length("text") >= 2 * size - 1)
-    reports = with_words.mapInArrow(lambda it: _reports(it, size), "key long, n long")
-    counts = written(reports.groupBy("key").agg(F.sum("n").alias("n")), "minimisers")
-    total = counts.where("key is null").agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_HOT, total // (16 * partitions(spark)))
-    # at most 16 keys for each shuffle partition can hold that share of all strings
+    known = F.col("doc_id").cast("long")
+    mark = F.xxhash64("text")
+    other = F.xxhash64(F.lit(1), "text")
+    slim = docs.select(known.isNull().cast("int").alias("none"), F.coalesce(known, other).alias("doc"), mark.alias("print"), "text", known.alias("doc_id"))
+    with_words = slim.where(F.length("text") >= 2 * size - 1).select(*_WHO, "text")
+    reports = with_words.mapInArrow(lambda it: _reports(it, size), "key long, n long, bytes long")
+    counts = kept(reports.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
+    total, length = counts.where("key is null").agg(F.sum("n"), F.sum("bytes")).first()
+    buckets = max(partitions(spark), -(-(length or 0) // BUCKET_BYTES))
+    tasks = max(partitions(spark), -(-(length or 0) // TASK_BYTES))
+    least = max(LEAST_HOT, (total or 0) // (2 * buckets))
+    # at most 2 keys for each bucket can hold that share of all strings
     hot = [r["key"] for r in counts.where((F.col("key").isNotNull()) & (F.col("n") >= least)).select("key").collect()]
     hot_keys = np.array(hot, np.int64).view(np.uint64)
-    buckets = SPREAD * partitions(spark)
-    sent = with_words.mapInArrow(lambda it: _packed(it, size, buckets, hot_keys), "bucket int, payload binary")
-    found = sent.groupBy("bucket").applyInArrow(lambda t: _bucket(t, size), "doc_id long, print int, span long")
-    spans = found.groupBy("doc_id", "print").agg(F.collect_list("span").alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), "spans")
+    sent = with_words.mapInArrow(lambda it: _packed(it, size, buckets, hot_keys), "bucket int, payload binary").repartition(tasks, "bucket")
+    found = sent.groupBy("bucket").applyInArrow(lambda t: _bucket(t, size), "none int, doc long, print long, span long")
+    spans = found.groupBy(*_WHO).agg(F.collect_list("span").alias("spans"))
     # the spans are built into a hash table; the texts stream past it unsorted
-    joined = slim.join(spans.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left")
+    joined = slim.join(spans.hint("shuffle_hash"), list(_WHO), "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.select("doc_id", "text", "spans").mapInArrow(lambda it: _kept(it, with_text), schema)

@@ -10,6 +10,15 @@ def frame(spark, rows, schema=SCHEMA):
     return spark.createDataFrame([(i, t, None, s, None, -1, None, "x") for i, t, s in rows], schema)
 
 
+def clashing(spark):
+    """Two texts whose 32-bit hashes are equal."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(400_000).select(F.concat(F.lit("some words of a text with the number "), F.col("id").cast("string")).alias("text"))
+    pairs = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("texts")).where("size(texts) > 1")
+    return sorted(pairs.first().texts)[:2]
+
+
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Nulls in any column, empty and long texts, ties and repeated rows."""

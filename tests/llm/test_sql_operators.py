@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 
 from gridloom.llm.exact_dedup import DigestIndex, exact_dedup
-from gridloom.llm.mixing import CURRICULUM, Schedule, mix_sources, training_order
+from gridloom.llm.mixing import CURRICULUM, Schedule, mix_sources, mixed_documents, training_order
 from gridloom.llm.scratch import new_path
 from gridloom.llm.secrets import BASE_RULES, BlobLedger, Rule, secret_spans
 
@@ -88,6 +88,39 @@ def test_digest_index_is_incremental(spark):
     index.close()
 
 
+def test_digest_index_is_reopened(spark):
+    from tests.llm.conftest import frame
+
+    path = new_path(spark, "index-test")
+    known = [(i, f"text {i}", None) for i in range(200)]
+    index = DigestIndex(spark, path, 5)
+    index.ingest(frame(spark, known[:120])).count()
+    index.ingest(frame(spark, known[100:])).count()
+    index.close()
+    later = spark.newSession()
+    later.conf.set("spark.sql.shuffle.partitions", "3")
+    with pytest.raises(ValueError):
+        DigestIndex(later, path, 8)
+    index = DigestIndex(later, path)
+    assert index.buckets == 5 and index.rows().count() == 200
+    index.compact()
+    assert index.rows().count() == 200 and len(index.rows().inputFiles()) <= 5
+    rows = index.ingest(frame(later, [(1000 + i, t, s) for i, t, s in known] + [(5000, "new", None)])).collect()
+    assert [r.doc_id for r in rows if r.kept] == [5000]
+    index.close()
+    assert DigestIndex(later, path).rows().count() == 201
+
+
+def test_alike_and_clashing_rows_are_mixed(spark):
+    from tests.llm.conftest import clashing, frame
+
+    texts = clashing(spark)
+    rows = [(None, t, "s") for t in texts * 4] + [(7, t, "s") for t in texts] + [(7, texts[0], "s")]
+    docs = frame(spark, rows)
+    got = mixed_documents(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, docs.collect()))
+
+
 def level(sizes, weights, cap=3):
     target, free, left = {}, set(sizes), float(sum(sizes.values()))
     while free:
