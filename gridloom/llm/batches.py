@@ -10,6 +10,15 @@ import numpy as np
 import pyarrow as pa
 
 
+def trim() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def lean(function: Callable) -> Callable:
     """``function`` of batches, whose worker gives its free memory back when it ends.
 
@@ -21,11 +30,7 @@ def lean(function: Callable) -> Callable:
         try:
             yield from function(batches, *more)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # another C library
-                pass
+            trim()
 
     return run
 

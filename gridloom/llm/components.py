@@ -4,12 +4,13 @@ Each round gives every node the least of itself and its neighbours as parent,
 shortens the parents by pointer jumping, and replaces the edges' ends by them;
 edges within a tree vanish. Rounds end when no edge is left, about the logarithm
 of the longest chain. Each step is an equi-join of written tables, which adaptive
-execution can split where a node has many edges; nothing goes to the driver but
-the number of edges left.
+execution can split where a node has many edges; each round ends with written
+tables, and nothing goes to the driver but the number of edges left.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,24 +46,25 @@ def components(edges: DataFrame) -> DataFrame:
     allowed. No edges give no rows.
     """
     left = written(_both_ways(edges), "edges")
-    roots = None
-    while not left.isEmpty():
+    roots, nodes = None, 0
+    while many := left.count():
+        nodes = nodes or many
         least = left.groupBy("u").agg(F.min("v").alias("least"))
-        parents = written(least.select(F.col("u").alias("node"), F.least("u", "least").alias("parent")), "parents")
-        for _ in range(2):
-            shorter = written(_jumped(parents), "parents")
-            remove(left.sparkSession, parents)
-            parents = shorter
+        hooked = least.select(F.col("u").alias("node"), F.least("u", "least").alias("parent")).persist(StorageLevel.DISK_ONLY)
+        once = _jumped(hooked).persist(StorageLevel.DISK_ONLY)
+        parents = written(_jumped(once), "parents", nodes)
         moved = left
         for end in ("u", "v"):
             to = parents.select(F.col("node").alias(end), F.col("parent").alias("to"))
-            moved = written(moved.join(to, end).drop(end).withColumnRenamed("to", end), "moved")
-        fewer = written(moved.where("u <> v").select("u", "v").distinct(), "edges")
+            moved = moved.join(to, end).drop(end).withColumnRenamed("to", end)
+        fewer = written(moved.where("u <> v").select("u", "v").distinct(), "edges", many)
         if roots is None:
             roots = parents.select("node", F.col("parent").alias("root"))
         else:
             to = parents.select(F.col("node").alias("root"), F.col("parent").alias("to"))
-            roots = written(roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            roots = written(roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots", nodes)
+        for done in (hooked, once):
+            done.unpersist()
         remove(left.sparkSession, left)
         left = fewer
     return roots if roots is not None else left.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.batches import lean
-from gridloom.llm.scratch import kept, partitions, ship, text_key, written
+from gridloom.llm.scratch import FILE_ROWS, kept, partitions, ship, text_key, written
 
 WORD = r"[^\x20\x09-\x0D]"
 BLANK = " \t\n\x0b\x0c\r"
@@ -43,7 +44,7 @@ LEAST_CHARS = 40
 #: Rows that are numbered at once.
 CHUNK = 1 << 18
 _LAST = 2**63 - 1
-_LEAD_CLASS, _LEAD, _TAIL, _FIRST, _FINAL, _MORE, _MANY = (1 << k for k in range(7))
+_LEAD_CLASS, _LEAD, _TAIL, _FIRST, _FINAL, _MORE = (1 << k for k in range(6))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Table]]:
@@ -68,7 +69,7 @@ def _runs(new: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(new, at, 0))
 
 
-_PLACED = "chunk long, flags int, in_class long, in_group long, prev long, p long, s long, rank long, next long, more long"
+_PLACED = "chunk long, flags int, sharing long, in_class long, in_group long, prev long, p long, s long, rank long, next long, more long"
 
 
 @lean
@@ -84,18 +85,21 @@ def _numbered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         flags[np.flatnonzero(group)[-1] :] |= _TAIL
         flags[:-1] |= np.where(group[1:], 0, _MORE)
         flags[0] |= _FIRST
-        flags[-1] |= _FINAL | (0 if group.all() else _MANY)
+        flags[-1] |= _FINAL
+        sharing = np.zeros(len(p), np.int64)  # rows of the chunk that share a key, at its last row
+        sharing[-1] = np.count_nonzero((in_group > 0) | (flags & _MORE > 0))
         made = [
-            pa.array((part.astype(np.int64) << 24) + piece), pa.array(flags.astype(np.int32)), pa.array(in_class), pa.array(in_group),
+            pa.array((part.astype(np.int64) << 24) + piece), pa.array(flags.astype(np.int32)), pa.array(sharing), pa.array(in_class), pa.array(in_group),
             pa.array(np.append(-1, p[:-1]), mask=np.append(True, following[:-1] < 0)),
         ]
         names = ["p", "s", "rank", "next", "more"]
-        yield from pa.Table.from_arrays([*made, *table.select(names).columns], ["chunk", "flags", "in_class", "in_group", "prev", *names]).to_batches()
+        yield from pa.Table.from_arrays([*made, *table.select(names).columns], ["chunk", "flags", "sharing", "in_class", "in_group", "prev", *names]).to_batches()
 
 
-def _carried(edges: list) -> tuple[list[tuple], bool]:
+def _carried(edges: list) -> tuple[list[tuple], int]:
     """For each chunk: how many rows of its first class and of its first key stand before it,
-    whether its last key goes on, and the suffix before. Also whether any key repeats.
+    whether its last key goes on, and the suffix before. Also how many rows share a key, at least
+    (one of either side where a key goes on).
     """
     chunks: dict[int, list] = {}
     for row in edges:
@@ -104,7 +108,7 @@ def _carried(edges: list) -> tuple[list[tuple], bool]:
             ends[0] = row
         if row.flags & _FINAL:
             ends[1] = row
-    out, shared, before = [], False, None
+    out, shared, before = [], 0, None
     for chunk, (first, final) in sorted(chunks.items()):
         class_ = group = 0
         prev = None
@@ -115,34 +119,43 @@ def _carried(edges: list) -> tuple[list[tuple], bool]:
                 group = n_group if (last.next, last.more) == (first.next, first.more) else 0
             prev = last.p if last.next >= 0 else None
             if group:
-                out[-1][3] = shared = True
-        shared |= bool(final.flags & _MANY)
+                out[-1][3] = True
+                shared += 2
+        shared += final.sharing
         out.append([chunk, class_, group, False, prev])
         n_class = final.in_class + 1 + (class_ if final.flags & _LEAD_CLASS else 0)
         before = final, n_class, final.in_group + 1 + (group if final.flags & _LEAD else 0)
     return [tuple(r) for r in out], shared
 
 
-def _ranked(rows: DataFrame, tag: str) -> tuple[DataFrame, bool]:
-    """``rows`` (p, s, rank, next, more) with their new ranks, and whether any suffixes still share one.
+def _ranked(rows: DataFrame, tag: str, many: int | None = None) -> tuple[DataFrame, int]:
+    """``rows`` (p, s, rank, next, more; about ``many``) with their new ranks, and how many suffixes still share one.
 
     Columns: p, s, rank, many (others share it), opens (it is the first of its
     rank and parts its old class there), next, prev (the suffix before it).
     """
     spark = rows.sparkSession
     keys = ["rank", "next", "more", "p"]
-    spread = rows.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
-    size = CHUNK
-    table = written(spread.select("s", *keys, F.spark_partition_id().alias("part")).mapInArrow(lambda it: _numbered(it, size), _PLACED), tag)
+    size, parts = CHUNK, partitions(spark)
+    if many is not None:
+        parts = min(parts, many // FILE_ROWS + 1)
+    spread = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    table = spread.select("s", *keys, F.spark_partition_id().alias("part")).mapInArrow(lambda it: _numbered(it, size), _PLACED)
+    table = table.persist(StorageLevel.DISK_ONLY)
     flag = lambda f: F.col("flags").bitwiseAND(f) != 0
     carries, shared = _carried(table.where(flag(_FIRST | _FINAL)).collect())  # two rows a chunk
     held = F.broadcast(spark.createDataFrame(carries, "chunk long, c_class long, c_group long, goes_on boolean, c_prev long"))
     group = F.col("in_group") + F.when(flag(_LEAD), F.col("c_group")).otherwise(0)
     new = F.col("rank") + F.col("in_class") + F.when(flag(_LEAD_CLASS), F.col("c_class")).otherwise(0) - group
-    many = (group > 0) | flag(_MORE) | (flag(_TAIL) & F.col("goes_on"))
+    others = (group > 0) | flag(_MORE) | (flag(_TAIL) & F.col("goes_on"))
     prev = F.when(flag(_FIRST), F.col("c_prev")).otherwise(F.col("prev"))
     opens = (group == 0) & (new > F.col("rank"))
-    return table.join(held, "chunk").select("p", "s", new.alias("rank"), many.alias("many"), opens.alias("opens"), "next", prev.alias("prev")), shared
+    made = table.join(held, "chunk").select("p", "s", new.alias("rank"), others.alias("many"), opens.alias("opens"), "next", prev.alias("prev"))
+    if many is None:  # of the first sort only the lines that repeat go on
+        made = made.where("many")
+    ranked = written(made, tag, many)
+    table.unpersist()
+    return ranked, shared
 
 
 def _united(frames: list[DataFrame]) -> DataFrame:
@@ -161,12 +174,13 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     spark = lines.sparkSession
     first, shared = _ranked(lines.select("p", "s", F.lit(0).cast("long").alias("rank"), F.col("a").alias("next"), F.col("b").alias("more")), "suffixes1")
     levels = [first.where("many").select("p", "s", "rank")]  # suffixes by depth, where others share their rank
-    alone, splits, h = [], [], 1
+    alone, splits, counts, h = [], [], [], 1
     while shared:
+        counts.append(shared)
         now = _united([levels[-1], *alone]).select((F.col("p") - h).alias("p"), "s", F.col("rank").alias("next"))
         ahead = levels[-1].join(now, ["p", "s"], "left")
         rows = ahead.select("p", "s", "rank", F.coalesce("next", -1 - F.col("p")).alias("next"), F.lit(0).cast("long").alias("more"))
-        ranked, shared = _ranked(rows, f"suffixes{2 * h}")
+        ranked, shared = _ranked(rows, f"suffixes{2 * h}", shared)
         alone.append(ranked.where("not many").select("p", "s", "rank"))
         known = (F.col("next") >= 0) & F.col("prev").isNotNull()
         split = ranked.where("opens").select(F.col("rank").alias("at"), F.lit(h).cast("long").alias("lcp"), F.when(known, F.col("prev") + h).alias("x"), F.when(known, F.col("p") + h).alias("y"))
@@ -187,7 +201,9 @@ def suffix_array(lines: DataFrame) -> DataFrame:
         equal = F.coalesce((F.col("r_x") == F.col("r_y")) & within[0] & within[1], F.lit(False))
         step = F.when(equal, 2**k).otherwise(0)
         begun = [F.when(equal, F.col(f"s_{c}")).otherwise(F.col(f"in_{c}")).alias(f"in_{c}") for c in ("x", "y")]
-        open_ = written(seen.select("at", *[(F.col(c) + step).alias(c) for c in ("lcp", "x", "y")], *begun), "prefixes")
+        open_ = seen.select("at", *[(F.col(c) + step).alias(c) for c in ("lcp", "x", "y")], *begun)
+        if k and k % 4 == 0:  # plans of a bounded length
+            open_ = written(open_, "prefixes", counts[k + 1])
     if open_ is not None:
         lcp.append(open_.select("at", "lcp"))
     return _united(alone).join(_united(lcp), F.col("rank") == F.col("at"), "left").select("p", "s", "rank", F.coalesce("lcp", F.lit(0)).alias("lcp"))
@@ -302,7 +318,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     texts = rows.groupBy("t").agg(F.min("d").alias("d"), F.first("lines").alias("lines"))
     order = texts.select("t", "d", F.size("lines").alias("n"), "lines").repartitionByRange(partitions(spark), "d", "t").sortWithinPartitions("d", "t")
     kind = "array<struct<a:bigint,b:bigint>>"
-    sequences = written(order.select("t", "d", "n", "lines", F.spark_partition_id().alias("part")).mapInArrow(_started, f"t binary, d long, s long, lines {kind}"), "sequences")
+    sequences = kept(order.select("t", "d", "n", "lines", F.spark_partition_id().alias("part")).mapInArrow(_started, f"t binary, d long, s long, lines {kind}"))
     each = sequences.select("s", F.posexplode("lines").alias("pos", "line")).select((F.col("s") + F.col("pos")).alias("p"), "s", "line.a", "line.b")
     runs = earlier_runs(suffix_array(each)).groupBy("s").agg(F.collect_list("span").alias("spans"))
     own = sequences.select("s", "t", "d").join(runs, "s").select("d", "t", "spans")

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,15 +236,17 @@ def similarity_links(classes: DataFrame, keyed: DataFrame, size: int, similar: t
     slim = classes.select("v", "signature")
     roots = F.array(*[F.struct(F.lit(int(x)).alias("path"), F.lit(k).alias("tree")) for k, x in enumerate(mixed(np.arange(TREES, dtype=np.uint64), 31).view(np.int64))])
     rows = slim.select(F.inline(roots), "v", "signature")
-    leaves = []
+    leaves, many = [], slim.count() * TREES
     for level in range(DEPTH):
         rows = rows.select("path", "tree", "v", "signature")
-        rows = written(rows.mapInArrow(lambda it, level=level: _branched(it, again, level), "path long, tree int, v binary"), "paths")
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        rows = written(rows.join(sizes, "path"), "grown")
+        paths = rows.mapInArrow(lambda it, level=level: _branched(it, again, level), "path long, tree int, v binary").persist(StorageLevel.DISK_ONLY)
+        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        rows = written(paths.join(sizes, "path"), "grown", many)
+        paths.unpersist()
         leaves.append(rows.where(F.col("rows") <= LEAF).select("path", "v"))
         large = rows.where(F.col("rows") > LEAF)
-        if large.isEmpty():
+        many = large.count()
+        if not many:
             break
         if level == DEPTH - 1:  # blocks by hash of about half a leaf: a leaf holds two, and each two share one
             dealt = large.withColumn("blocks", F.ceil(F.col("rows") * 2 / LEAF)).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
@@ -287,7 +290,7 @@ def near_dedup(docs: DataFrame, size: int = 5, similar: tuple[int, int] = (80, 1
     )
     classes = kept(classes)
     keyed = slim.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "t", "text")
-    links = written(similarity_links(classes, keyed, size, similar), "links")
+    links = kept(similarity_links(classes, keyed, size, similar))
     roots = components(links)
     whole = classes.select("class", "v", "d").join(roots, F.col("v") == F.col("node"), "left")
     reached = whole.select("class", F.coalesce(number_of(F.col("root")), "d").alias("least"))

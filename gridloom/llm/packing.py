@@ -25,11 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import ship, written
+from gridloom.llm.batches import lean
+from gridloom.llm.scratch import FEW, kept, ship
 from gridloom.llm.textkernel import Words, slices, words_of
 
 #: Units whose ids a worker remembers.
-MEMO_ROOM = 400_000
+MEMO_ROOM = 150_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -142,6 +143,7 @@ class WordIds:
 _encoders: dict[tuple[str, bool], WordIds] = {}
 
 
+@lean
 def _pieces(batches: Iterator[pa.RecordBatch], file: str, capacity: int, end_id: int, whole: bool) -> Iterator[pa.RecordBatch]:
     encoder = _encoders.get((file, whole)) or _encoders.setdefault((file, whole), WordIds(file, whole))
     end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
@@ -247,6 +249,7 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return runs, opened
 
 
+@lean
 def _assign(batches: Iterator[pa.RecordBatch], tables: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths, ranks = batch.column("length").to_numpy(zero_copy_only=False), batch.column("rank").to_numpy(zero_copy_only=False)
@@ -262,7 +265,7 @@ def _assign(batches: Iterator[pa.RecordBatch], tables: dict[int, tuple]) -> Iter
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """``pieces`` with sequence_id and offset; ``pieces`` should be a written table.
+    """``pieces`` with sequence_id and offset; ``pieces`` should be a kept or written table.
 
     Reruns agree but for pieces that are alike in every column.
     """
@@ -270,7 +273,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     ship(spark)
     part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1024)).cast("int")
     slotted = pieces.withColumn("part", part)
-    parts = written(slotted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "pack-parts")
+    # 1024 rows a length at most
+    parts = kept(slotted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).coalesce(FEW))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs, _ = plan(counts, capacity)
     lists: dict[int, list] = defaultdict(list)
@@ -278,7 +282,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         lists[length].append((rank, first, offset))
     tables = {k: tuple(np.array(c, np.int64) for c in zip(*sorted(v))) for k, v in lists.items()}
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    heads = written(parts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n"), "pack-heads")
+    heads = parts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
     inner = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = slotted.withColumn("inner", inner).join(heads, ["length", "part"]).withColumn("rank", F.col("before") + F.col("inner") - 1)
     shared = spark.sparkContext.broadcast(tables)  # its size depends on the capacity, not on the corpus
@@ -294,4 +298,4 @@ def pack_documents(docs: DataFrame, file: str, capacity: int = 2048, end_id: int
     Rows repeating an id are documents of their own. Other columns are ignored;
     no rows give no rows.
     """
-    return pack(written(token_pieces(docs, file, capacity, end_id, whole), "pieces"), capacity)
+    return pack(kept(token_pieces(docs, file, capacity, end_id, whole)), capacity)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.batches import lean
+from gridloom.llm.batches import lean, trim
 from gridloom.llm.scratch import ship
 from gridloom.llm.textkernel import Words, grams, mixed, slices, words_of
 
@@ -202,7 +202,10 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> Model:
     texts = texts.groupBy("id", "quality", "place").agg(F.min("text").alias("text")).select("quality", "text", "place")
     rows = texts.mapInArrow(_featured, "quality int, place long, features binary").toArrow()
     rows = sorted(zip(rows.column("place").to_pylist(), rows.column("features").to_pylist(), rows.column("quality").to_pylist()))
-    return fitted([np.frombuffer(f, np.int32) for _, f, _ in rows], np.array([y for _, _, y in rows], np.int64), share if share is not None else 0.5)
+    model = fitted([np.frombuffer(f, np.int32) for _, f, _ in rows], np.array([y for _, _, y in rows], np.int64), share if share is not None else 0.5)
+    del rows
+    trim()
+    return model
 
 
 @lean

@@ -3,7 +3,7 @@
 ``spark.checkpoint.dir`` names that folder. Where it is unset, a folder in the
 warehouse stands in on a cluster, and a temporary one on a single machine. A
 written table cuts lineage and survives lost executors. Slim tables that are
-only read twice, outside loops, are ``kept`` on two executors' disks instead.
+only read twice, outside loops, are ``kept`` on the executors' disks instead.
 Both go with ``release``, or when the driver's JVM ends.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Shuffle partitions are sized for texts; of so many one task writes a slim table, unless few are left.
 SLIM, FEW = 8, 24
+#: Slim rows of a file, where their number is known.
+FILE_ROWS = 250_000
 
 _local: list[str] = []
 _kept: list[DataFrame] = []
@@ -47,25 +49,27 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def written(df: DataFrame, tag: str, slim: bool = True) -> DataFrame:
+def written(df: DataFrame, tag: str, rows: int | None = None, slim: bool = True) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again.
 
-    ``slim``: rows without texts, for which fewer tasks will do.
+    ``slim``: rows without texts, for which fewer tasks will do; ``rows``: about
+    how many there are. Rounds that work on few rows so write few files.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    (df.coalesce(max(FEW, partitions(spark) // SLIM)) if slim else df).write.parquet(path)
+    most = max(FEW, partitions(spark) // SLIM) if rows is None else min(partitions(spark), rows // FILE_ROWS + 1)
+    # nothing looks for the mark of a whole table, whose path nobody else knows
+    (df.coalesce(most) if slim else df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` on two executors' disks once it is computed; a loss of both computes it again.
+    """``df`` on its executors' disks once it is computed; what a lost one held is computed again.
 
     For slim tables that later steps read more than once, not for loops: the
     lineage stays. What is kept must come out the same when computed again.
     """
-    local = df.sparkSession.sparkContext.master.startswith("local[")
-    df = df.persist(StorageLevel.DISK_ONLY if local else StorageLevel.DISK_ONLY_2)
+    df = df.persist(StorageLevel.DISK_ONLY)
     _kept.append(df)
     return df
 

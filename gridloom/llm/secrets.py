@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import new_path, written
+from gridloom.llm.scratch import kept, new_path
 
 
 @dataclass(frozen=True)
@@ -104,12 +104,12 @@ class BlobLedger:
             F.col("doc_id").cast("long").alias("doc_id"),
             F.coalesce(F.col("text"), F.lit("")).alias("text"),
         ).withColumn("blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-        paths = written(texts.select("doc_id", "blob"), "paths")
+        paths = kept(texts.select("doc_id", "blob"))
         current = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
         blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
         pairs = blobs.select("blob", "doc_id", F.inline(current))
         todo = pairs.join(self.rows().select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti")
-        wanted = written(todo.groupBy("blob", "doc_id").agg(F.collect_set("rule").alias("rules")), "unseen")
+        wanted = todo.groupBy("blob", "doc_id").agg(F.collect_set("rule").alias("rules"))
         source = texts.withColumnRenamed("blob", "b").withColumnRenamed("doc_id", "d")
         # the wanted pairs are built into a hash table; the texts stream past it unsorted
         to_scan = source.join(wanted.hint("shuffle_hash"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("b") == F.col("blob")))
@@ -126,7 +126,7 @@ class BlobLedger:
         held = F.broadcast(self.spark.createDataFrame([(r.kind, r.version) for r in rules], "rule string, version int"))
         hits = self.rows().where(F.size("found") > 0).join(held, ["rule", "version"], "left_semi")
         # a blob may be listed twice where its first path is: rows repeating id and text
-        by_blob = written(hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found")), "hits")
+        by_blob = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
         return paths.join(by_blob, "blob", "left").select("doc_id", F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
 
 

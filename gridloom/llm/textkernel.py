@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from gridloom.llm.token_counts import byte_slices
 
 #: Bytes of text that a worker holds as arrays at once; a longer text goes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
