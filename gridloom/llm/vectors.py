@@ -5,12 +5,13 @@
    for each subspace. All vectors are indexed: nearest list, codes of the
    residual, and the distance between the vector and what its codes stand for.
 3. Sufficient probes: of unit vectors, a linked pair is no further apart than
-   ``reach``. A vector of another list is on the far side of the plane between
-   both centroids, so a list whose plane is further than ``reach`` from the
-   query holds no link. Lists whose plane is within ``MARGIN`` of ``reach`` are
-   probed; of two lists, the vectors of the one with the smaller number probe.
-   With a margin of 1 no link can be missed; as only one side probes, a smaller
-   margin misses links of vectors far from the plane to partners right behind it.
+   ``reach``. Where its lists differ, the plane between both centroids lies
+   between them, and their distances from it add up to ``reach`` at most: with
+   probes to half of it, one of them probes the other's list. Each vector probes
+   all lists whose plane is within a margin, which is measured: on pairs of the
+   sample at the very cosine, turned towards other vectors of the sample, the
+   least margin that finds ``RECALL`` of them, and never more than half, with
+   which all are found. A pair that both sides find counts in the lesser list.
 4. Table lookups sum the distance between query and codes (asymmetric). It errs
    by the stored distance at most, so a pair beyond ``reach`` plus that is none.
    The rest is checked by its exact cosine.
@@ -18,7 +19,7 @@
    of blocks returns how many vectors each class is linked with and a spanning
    forest of its links, not the links. Components follow from the forests.
 
-Neither step 3 nor step 4 loses a link.
+Step 4 loses no link, and step 3 at most the share it has measured.
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.batches import Forest, groups
+from gridloom.llm.batches import Forest, groups, lean
 from gridloom.llm.components import components, number_of, ordered_key
-from gridloom.llm.scratch import partitions, ship, written
+from gridloom.llm.scratch import kept, partitions, ship
 
 #: Vectors that train the index, lists at most, codewords, and dimensions of a subspace.
 SAMPLE, LISTS, CODES, SUBSPACE = 20_000, 4096, 128, 4
-#: Of a link's reach, how far a list's plane may be for the list to be probed.
-MARGIN = 1.0
+#: Share of pairs at the cosine itself that probes must find (1: all, by the half), and pairs that measure it.
+RECALL, PAIRS = 0.995, 4000
 #: Rows of a list's block and of a block of probes.
 BLOCK, PROBES = 512, 2048
 _LAST = 2**63 - 1
@@ -69,36 +70,70 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return centers
 
 
+def _turned(x: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """For each row a unit vector at ``cosine`` to it, in the direction of one other row or between two."""
+    n = len(x)
+    to = x[rng.permutation(n)] - x[rng.permutation(n)] * rng.integers(0, 2, n)[:, None]
+    to -= (to * x).sum(1)[:, None] * x
+    length = np.linalg.norm(to, axis=1, keepdims=True)
+    return np.where(length > 1e-9, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * to / np.maximum(length, 1e-9), x)
+
+
 @dataclass
 class Index:
     centers: np.ndarray  # lists x dimensions
     books: list[np.ndarray]  # for each subspace: codewords x its dimensions
     cuts: list[tuple[int, int]]
     reach: float
+    margin: float = 0.5  # of reach
 
     @staticmethod
-    def trained(x: np.ndarray, lists: int, reach: float) -> Index:
+    def trained(x: np.ndarray, lists: int, cosine: float) -> Index:
+        """An index of the sample ``x``; every fourth row only measures the margin."""
         rng = np.random.default_rng(7)
-        centers = _means(x, lists, 8, rng)
-        rest = x - centers[_square_distances(x, centers).argmin(1)]
+        held = np.arange(len(x)) % 4 == 3
+        fit = x[~held]
+        centers = _means(fit, lists, 8, rng)
+        rest = fit - centers[_square_distances(fit, centers).argmin(1)]
         cuts = [(a, min(a + SUBSPACE, x.shape[1])) for a in range(0, x.shape[1], SUBSPACE)]
-        return Index(centers, [_means(rest[:, a:b], CODES, 6, rng) for a, b in cuts], cuts, reach)
-
-    def placed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Nearest lists, codes, distances to the codes' vectors, and lists to probe."""
+        index = Index(centers, [_means(rest[:, a:b], CODES, 6, rng) for a, b in cuts], cuts, math.sqrt(max(0.0, 2 - 2 * cosine)))
+        if RECALL < 1 and held.any() and index.reach > 0:
+            a = x[held][rng.integers(0, held.sum(), PAIRS)]
+            b = _turned(a, cosine, rng)
+            (near_a, planes_a), (near_b, planes_b) = index.planes(a), index.planes(b)
+            rows = np.arange(PAIRS)
+            least = np.where(near_a == near_b, 0.0, np.minimum(planes_a[rows, near_b], planes_b[rows, near_a]))
+            index.margin = float(min(0.5, max(0.0, np.quantile(least, RECALL)) / index.reach))
+        return index
+
+    def planes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest lists, and distances to the planes that part them from all others."""
         far = _square_distances(x, self.centers)
         near = far.argmin(1)
-        rest = x - self.centers[near]
-        codes = np.stack([_square_distances(rest[:, a:b], book).argmin(1) for (a, b), book in zip(self.cuts, self.books)], 1).astype(np.uint8)
-        error = np.linalg.norm(rest - self.decoded(codes), axis=1)
         between = np.sqrt(_square_distances(self.centers, self.centers))[near]
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = (far - far[np.arange(len(x)), near][:, None]) / (2 * between)
         # centroids that coincide share their vectors: no plane divides them
-        open_ = ~(plane > MARGIN * self.reach + 1e-7)
-        open_ &= np.arange(len(self.centers))[None] > near[:, None]
+        return near, np.where(np.isnan(plane), 0.0, plane)
+
+    def placed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Nearest lists, codes, distances to the codes' vectors, and other lists to probe."""
+        near, plane = self.planes(x)
+        rest = x - self.centers[near]
+        codes = np.stack([_square_distances(rest[:, a:b], book).argmin(1) for (a, b), book in zip(self.cuts, self.books)], 1).astype(np.uint8)
+        error = np.linalg.norm(rest - self.decoded(codes), axis=1)
+        open_ = plane <= self.margin * self.reach + 1e-7
+        open_[np.arange(len(x)), near] = False
         return near, codes, error, [np.flatnonzero(row) for row in open_]
 
+    def probes(self, x: np.ndarray, own: int, lists: np.ndarray) -> np.ndarray:
+        """Whether each row of ``x``, of list ``own``, probes the list beside it."""
+        far = lambda c: ((x - c) ** 2).sum(1)
+        between = np.sqrt(((self.centers[lists] - self.centers[own]) ** 2).sum(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (far(self.centers[lists]) - far(self.centers[own])) / (2 * between)
+        return np.where(np.isnan(plane), 0.0, plane) <= self.margin * self.reach + 1e-7
+
     def decoded(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], 1)
 
@@ -111,6 +146,7 @@ class Index:
         return out
 
 
+@lean
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors = batch.column("embedding")
@@ -120,9 +156,10 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(names, pa.binary()), vectors], ["vec_id", "class", "embedding"])
 
 
-_PLACED = "list int, role int, v binary, size long, embedding {}, codes binary, error double"
+_PLACED = "list int, role int, own int, v binary, size long, embedding {}, codes binary, error double"
 
 
+@lean
 def _placed(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     """Each vector as a member of its list (role 0) and as a probe of others (role 1)."""
     for whole in batches:
@@ -136,13 +173,14 @@ def _placed(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
             rows = batch.take(pa.array(at))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(lists, pa.int32()), pa.array(role), rows.column("v"), rows.column("size"), rows.column("embedding"),
+                    pa.array(lists, pa.int32()), pa.array(role), pa.array(near[at], pa.int32()), rows.column("v"), rows.column("size"), rows.column("embedding"),
                     pa.array([codes[i].tobytes() if r == 0 else None for i, r in zip(at, role)], pa.binary()), pa.array(error[at]),
                 ],
-                ["list", "role", "v", "size", "embedding", "codes", "error"],
+                ["list", "role", "own", "v", "size", "embedding", "codes", "error"],
             )
 
 
+@lean
 def _compared(batches: Iterator[pa.RecordBatch], index: Index, cosine: float) -> Iterator[pa.RecordBatch]:
     """Of each pair of blocks: (v, links) and (v, other end of a forest's link)."""
     for cell in groups(batches, "cell"):
@@ -166,6 +204,10 @@ def _compared(batches: Iterator[pa.RecordBatch], index: Index, cosine: float) ->
             part = slice(start, start + 65_536)
             hit[part] = np.einsum("ij,ij->i", x[q[part]], x[m[part]]) >= cosine
         q, m = q[hit], m[hit]
+        if not within:  # where both probe the other's list, the lesser list counts the pair
+            own = cell.column("own").to_numpy(zero_copy_only=False)[q]
+            counts = (list_ < own) | ~index.probes(x[m], list_, own)
+            q, m = q[counts], m[counts]
         links = np.bincount(q, size[m], len(ids)).astype(np.int64) + np.bincount(m, size[q], len(ids)).astype(np.int64)
         # a member may stand on both sides of a cell; its first row is its node
         first: dict[bytes, int] = {}
@@ -186,19 +228,18 @@ def _similar(members: DataFrame, cosine: float) -> DataFrame:
     spark = members.sparkSession
     total = members.count()
     sample = members.orderBy(F.xxhash64("class"), "v").limit(SAMPLE).select("embedding").toArrow()
-    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
     lists = max(1, min(LISTS, round(math.sqrt(total))))
-    index = Index.trained(_units(sample.column(0).combine_chunks()), lists, reach)
+    index = Index.trained(_units(sample.column(0).combine_chunks()), lists, cosine)
     shared = spark.sparkContext.broadcast(index)  # bounded by LISTS and CODES
     placed = members.select("v", "size", "embedding").mapInArrow(lambda it: _placed(it, shared.value), _PLACED.format(members.schema["embedding"].dataType.simpleString()))
-    placed = written(placed, "placed")
+    placed = kept(placed)
     sizes = placed.groupBy("list").agg(F.sum(1 - F.col("role")).alias("own"), F.sum("role").alias("probes"))
     sizes = F.broadcast(sizes.select("list", F.ceil(F.col("own") / BLOCK).alias("blocks"), F.ceil(F.col("probes") / PROBES).alias("turns")))  # LISTS rows at most
     sized = placed.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("v"), F.greatest("blocks", F.lit(1))))
     sized = sized.withColumn("turn", F.pmod(F.xxhash64("v"), F.greatest("turns", F.lit(1))))
     none = F.array().cast("array<bigint>")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
-    keep = ["list", "v", "size", "embedding", "codes", "error"]
+    keep = ["list", "own", "v", "size", "embedding", "codes", "error"]
     member, probe = F.col("role") == 0, F.col("role") == 1
 
     def side(rows: DataFrame, block, turn, within: bool, which: int) -> DataFrame:
@@ -233,23 +274,23 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     kind = kind if kind == "array<float>" else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     usable = rows.where(F.coalesce(fine, F.lit(False)))
-    named = written(usable.mapInArrow(_classes, f"vec_id long, class binary, embedding {kind}"), "vectors")
+    named = kept(usable.mapInArrow(_classes, f"vec_id long, class binary, embedding {kind}"))
     members = named.groupBy("class").agg(
         F.min(F.coalesce("vec_id", F.lit(_LAST))).alias("d"), F.count(F.lit(1)).alias("size"), F.first("embedding").alias("embedding")
     )
-    members = written(members.withColumn("v", ordered_key(F.col("d"), F.col("class"))), "members")
+    members = kept(members.withColumn("v", ordered_key(F.col("d"), F.col("class"))))
     lengths = [r[0] for r in members.select(F.size("embedding")).distinct().collect()]
     empty = spark.createDataFrame([], "v binary, links long, other binary")
     found = empty
     for n in lengths:
         found = found.unionAll(_similar(members.where(F.size("embedding") == n), cosine))
-    found = written(found, "found")
+    found = kept(found)
     links = found.where("other is null").groupBy("v").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select(F.col("v").alias("u"), F.col("other").alias("v")))
     known = members.select("class", "v", "d", "size").join(links, "v", "left").join(roots.withColumnRenamed("node", "v"), "v", "left")
-    known = written(known.select("class", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce(number_of(F.col("root")), "d").alias("least")), "known")
+    known = known.select("class", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce(number_of(F.col("root")), "d").alias("least"))
     least = F.coalesce(F.when(F.col("least") != _LAST, F.col("least")), F.col("vec_id"))
-    kept = F.col("vec_id").eqNullSafe(least)
-    linked = named.select("vec_id", "class").join(known, "class").select("vec_id", "n_links", least.alias("component_id"), kept.alias("kept"))
+    stays = F.col("vec_id").eqNullSafe(least)
+    linked = named.select("vec_id", "class").join(known, "class").select("vec_id", "n_links", least.alias("component_id"), stays.alias("kept"))
     alone = rows.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionAll(alone)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from gridloom.llm import vectors
 from gridloom.llm.vectors import embedding_dedup
@@ -43,19 +44,48 @@ def brute(rows, cosine):
 
 
 def test_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "RECALL", 1.0)
     rows = made(2)
     frame = spark.createDataFrame([(i, v, None, "c", 7) for i, v in rows], SCHEMA).repartition(3)
     want = brute([(i, None if v is None else [None if c is None else float(np.float32(c)) for c in v]) for i, v in rows], 0.9)
     assert sorted(map(tuple, embedding_dedup(frame).collect()), key=str) == want
-    monkeypatch.setattr(vectors, "MARGIN", 1.0)
-    assert sorted(map(tuple, embedding_dedup(frame).collect()), key=str) == want
     monkeypatch.setattr(vectors, "BLOCK", 7)
     monkeypatch.setattr(vectors, "PROBES", 11)
     monkeypatch.setattr(vectors, "SAMPLE", 200)
     assert sorted(map(tuple, embedding_dedup(frame).collect()), key=str) == want
 
 
-def test_links_far_from_the_plane_are_found(spark):
+def of_kind(kind, n, rng):
+    if kind == "isotropic":
+        return rng.normal(size=(n, 48))
+    if kind == "clustered":
+        return rng.normal(size=(60, 48))[rng.integers(0, 60, n)] + 0.35 * rng.normal(size=(n, 48))
+    dims = int(kind)
+    return rng.normal(size=(n, dims)) @ rng.normal(size=(dims, 48))  # in a space of few dimensions
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered", "4", "8"])
+def test_recall_of_probes(kind):
+    """Of pairs at the cosine itself that neither trained nor measured the index."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(of_kind(kind, 6000, rng))
+    index = vectors.Index.trained(x[:4000], 70, 0.9)
+    a = x[4000:]
+    b = vectors._turned(a, 0.9, rng)
+    (near_a, _, _, probes_a), (near_b, _, _, probes_b) = index.placed(a), index.placed(b)
+    found = [p == q or q in u or p in v for p, q, u, v in zip(near_a, near_b, probes_a, probes_b)]
+    assert np.mean(found) >= 0.98 and index.margin <= 0.5
+    # links of the table itself, where there are any
+    c = a @ a.T
+    i, j = np.nonzero(np.triu(c >= 0.9, 1))
+    if len(i) > 100:
+        pick = rng.integers(0, len(i), 2000)
+        assert np.mean([near_a[p] == near_a[q] or near_a[q] in probes_a[p] or near_a[p] in probes_a[q] for p, q in zip(i[pick], j[pick])]) >= 0.98
+
+
+def test_links_far_from_the_plane_are_found(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "RECALL", 1.0)
     # on a circle links lie across the planes: one end far from it, the other right behind it
     angles = np.random.default_rng(6).uniform(0, 2 * np.pi, 150)
     rows = [(k, [float(np.float32(np.cos(a))), float(np.float32(np.sin(a)))]) for k, a in enumerate(angles)]
