@@ -177,7 +177,7 @@ class Request:
 
     @property
     def n_days(self) -> int:
-        """Days between the dates of both ends, 1 at least."""
+        """Days between the dates of both ends, 1 at least; a request without a window has none."""
         if self.t_start is None or self.t_end is None:
-            return 1
+            raise ValueError("a request without both ends has no number of days")
         return max(1, (self.t_end.date() - self.t_start.date()).days)

@@ -20,9 +20,12 @@ class DataNeed:
     kind: str = ""
     max_native_res_m: float | None = None
     required: bool = True
+    dtype: str = "float"
+    units: str = ""
+    description: str = ""
 
     def spec(self) -> VarSpec:
-        return VarSpec(self.name, self.kind, max_native_res_m=self.max_native_res_m, required=self.required)
+        return VarSpec(self.name, self.kind, self.dtype, self.units, description=self.description, max_native_res_m=self.max_native_res_m, required=self.required)
 
 
 class NoDataAvailable(RuntimeError):
@@ -34,7 +37,7 @@ class NoDataAvailable(RuntimeError):
 
 class DataAdapter:
     def __init__(self, needs: Sequence[DataNeed | VarSpec | str]):
-        as_need = lambda n: n if isinstance(n, DataNeed) else DataNeed(n) if isinstance(n, str) else DataNeed(n.name, n.kind, n.max_native_res_m, n.required)
+        as_need = lambda n: n if isinstance(n, DataNeed) else DataNeed(n) if isinstance(n, str) else DataNeed(n.name, n.kind, n.max_native_res_m, n.required, n.dtype, n.units, n.description)
         self.needs = tuple(map(as_need, needs))
         if len({n.name for n in self.needs}) < len(self.needs):
             raise ValueError("a name is needed twice")
@@ -46,7 +49,10 @@ class DataAdapter:
         return tuple(n.spec() for n in self.needs)
 
     def need(self, name: str) -> DataNeed:
-        return next(n for n in self.needs if n.name == name)
+        for n in self.needs:
+            if n.name == name:
+                return n
+        raise KeyError(f"{name} isn't needed here")
 
     def search(self, cube) -> dict[str, dict[str, Any]]:
         """By name: present, resolution_ok and native_res_m."""

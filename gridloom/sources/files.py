@@ -35,17 +35,21 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside the file, then take its place."""
+    """Write beside the file, then take its place in one rename: readers find the old text or the new one."""
     fs, at = _at(spark, path)
+    at = at.makeQualified(fs.getUri(), fs.getWorkingDirectory())
     beside = at.suffix(".tmp")
     stream = fs.create(beside, True)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if fs.exists(at):
-        fs.delete(at, False)
-    fs.rename(beside, at)
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(beside, at, options)
 
 
 def copy_tree(spark: SparkSession, source: str, target: str) -> None:

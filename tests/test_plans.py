@@ -292,7 +292,9 @@ def test_contract_kit(cube):
 def test_model_values():
     assert [t.shape for t in tiles_of(3, 5, 2)] == [(2, 2), (2, 2), (2, 1), (1, 2), (1, 2), (1, 1)]
     assert TileSpec((2, 4), (0, 2)).with_halo(1, 5, 9) == TileSpec((1, 5), (0, 3)) and TileSpec((0, 1), (0, 1)).with_halo(0, 1, 1) == TileSpec((0, 1), (0, 1))
-    assert Request(datetime(2026, 1, 1, 12), datetime(2026, 1, 3)).n_days == 2 and Request().n_days == 1
+    assert Request(datetime(2026, 1, 1, 12), datetime(2026, 1, 3)).n_days == 2
+    with pytest.raises(ValueError):
+        Request().n_days  # noqa: B018
     g = Grid.around(-96.797, 32.776, 2500, 500)
     assert g.crs_epsg == 32614 and g.shape == (11, 11) and g.bounds[0] % 500 == 0
     assert MergePolicy("monotone_min") is MergePolicy.MONOTONE_MIN
