@@ -1,11 +1,12 @@
 """Token counts of whole texts, as a SentencePiece model gives them.
 
-Arrow batches hold texts and the functions return lengths only. Batches are
-balanced by bytes. Long texts are split at safe boundaries: a space after a
+Arrow batches hold texts and the functions return lengths only. Texts are handled
+in slices balanced by bytes. They are split at safe boundaries: a space after a
 non-space. No piece of a model whose pieces hold the space mark only in front
 can merge across such a boundary, so the counts of the segments add up to the
 count of the text; the model is checked for that property, and without it whole
-texts are encoded. Segments repeat, so each worker keeps a bounded memo of them.
+texts are encoded. Segments repeat, so each worker keeps a bounded memo of them;
+those of a slice that it lacks are encoded together, in batches of equal bytes.
 """
 
 from __future__ import annotations
@@ -18,32 +19,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.batches import lean
 from gridloom.llm.scratch import ship
 
 MARK = "▁"
 #: Segments a worker remembers, and the longest that it remembers.
-MEMO_ROOM, MEMO_LENGTH = 1_000_000, 64
-#: Bytes of text handled at once in a worker.
-BATCH_BYTES = 4 << 20
+MEMO_ROOM, MEMO_LENGTH = 300_000, 64
+#: Bytes of text handled at once in a worker, and of segments in a batch.
+SLICE_BYTES, BATCH_BYTES = 4 << 20, 256 << 10
 _SEGMENT = re.compile(r" *[^ ]+| +")
 
 
-class _Memo(dict):
-    """Counts of segments without their first space; a miss encodes."""
-
-    def __init__(self, processor):
-        super().__init__()
-        self.processor = processor
-
-    def __missing__(self, segment: str) -> int:
-        n = len(self.processor.encode(segment, num_threads=1))
-        if len(segment) <= MEMO_LENGTH:
-            if len(self) >= MEMO_ROOM:
-                self.clear()
-            self[segment] = n
-        return n
-
-
 class TokenCounter:
     """Counts as ``len(processor.encode(text))`` does."""
 
@@ -58,21 +44,35 @@ class TokenCounter:
             and encode("a", out_type=str)[0].startswith(MARK)
             and encode(" a ", out_type=str, num_threads=1) == encode(" a", out_type=str) + [MARK]
         )
-        self.memo = _Memo(self.processor)
+        self.memo: dict[str, int] = {}
 
-    def count(self, text: str) -> int:
+    def _segments(self, text: str) -> tuple[list[str], int]:
+        """Segments without the space in front, and the spaces that are pieces of their own."""
         if not text:
-            return 0
+            return [], 0
         if not self.splits or MARK in text:
-            return len(self.processor.encode(text, num_threads=1))
+            return [text], 0
         words = text.split(" ")
         if "" not in words:
-            return sum(map(self.memo.__getitem__, words))
+            return words, 0
         # the model puts a space in front of the text; each segment carries one in front
-        total = 0
-        for segment in _SEGMENT.findall(" " + text):
-            total += self.memo[segment[1:]] if segment != " " else 1
-        return total
+        found = _SEGMENT.findall(" " + text)
+        return [s[1:] for s in found if s != " "], found.count(" ")
+
+    def counts(self, texts: list[str]) -> list[int]:
+        parts = [self._segments(t) for t in texts]
+        memo = self.memo
+        fresh = list({s for segments, _ in parts for s in segments}.difference(memo))
+        for start, end in byte_slices([len(s) for s in fresh], BATCH_BYTES):
+            batch = fresh[start:end]
+            memo.update(zip(batch, map(len, self.processor.encode(batch, num_threads=1))))
+        out = [sum(map(memo.__getitem__, segments)) + alone for segments, alone in parts]
+        if len(memo) > MEMO_ROOM:
+            memo.clear()
+        for s in fresh:
+            if len(s) > MEMO_LENGTH:
+                memo.pop(s, None)
+        return out
 
 
 def byte_slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -90,14 +90,15 @@ def byte_slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 _counters: dict[str, TokenCounter] = {}
 
 
+@lean
 def _counts(batches: Iterator[pa.RecordBatch], model_file: str, limit: int) -> Iterator[pa.RecordBatch]:
     counter = _counters.get(model_file) or _counters.setdefault(model_file, TokenCounter(model_file))
     for batch in batches:
         texts = batch.column(1)
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         tokens: list[int] = []
-        for start, end in byte_slices(sizes, BATCH_BYTES):
-            tokens += [counter.count(t or "") for t in texts.slice(start, end - start).to_pylist()]
+        for start, end in byte_slices(sizes, SLICE_BYTES):
+            tokens += counter.counts([t or "" for t in texts.slice(start, end - start).to_pylist()])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
             ["doc_id", "n_bytes", "n_tokens", "over_limit"],

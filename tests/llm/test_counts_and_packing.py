@@ -24,7 +24,7 @@ texts = st.lists(st.sampled_from(["a", " ", "  ", "\n", "the ", "<s>", "</s>", "
 @settings(max_examples=400, deadline=None)
 @given(texts)
 def test_counts_are_the_librarys(text):
-    assert counter.splits and counter.count(text) == len(plain.encode(text))
+    assert counter.splits and counter.counts([text])[0] == len(plain.encode(text))
 
 
 @settings(max_examples=400, deadline=None)
@@ -40,6 +40,18 @@ def test_counts_of_awkward_rows(awkward, nothing):
     assert token_counts(nothing, PIECES).count() == 0
 
 
+def test_slices_of_texts_and_batches_of_segments(monkeypatch):
+    import gridloom.llm.token_counts as module
+
+    rows = ["one two  three", "", "a" * 500 + " b", "two one", "▁ x", " lead", "tail ", "one two  three"]
+    want = [len(plain.encode(t)) for t in rows]
+    assert TokenCounter(PIECES).counts(rows) == want
+    monkeypatch.setattr(module, "BATCH_BYTES", 6)
+    monkeypatch.setattr(module, "MEMO_ROOM", 3)
+    few = TokenCounter(PIECES)
+    assert few.counts(rows) == want and few.counts(rows) == want and not few.memo
+
+
 def test_byte_slices():
     assert list(byte_slices([5, 5, 20, 1, 1], 10)) == [(0, 2), (2, 3), (3, 5)]
     assert list(byte_slices([], 10)) == []
