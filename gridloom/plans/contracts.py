@@ -82,13 +82,16 @@ def check_outputs(producer: Producer, outputs: Mapping[str, DataFrame]) -> None:
 class TiledProducer(Producer):
     """A producer that works tile by tile, with a halo around each.
 
-    ``process`` gets one tile's rows (the required variables as columns, and
-    is_inner) as a pandas frame and returns rows (y, x, value) of the first
-    variable it produces. All tiles are one grouped job; only rows of the inner
-    tile are kept.
+    ``init`` comes first, then ``process`` gets each wanted tile's rows (the
+    required variables as columns, and is_inner) as a pandas frame and returns
+    rows (y, x, value) of the first variable it produces, and ``finalize`` last,
+    only if no tile failed. All tiles are one grouped job, which runs once: its
+    rows are staged beside the cube, and both the tiles' metrics and the cells
+    of the inner tiles are read from there. ``attempts`` tries are made at a tile.
     """
 
     tile = 256
+    attempts = 1
 
     def tiles(self, cube, request: Request) -> list[TileSpec]:
         return tiles_of(cube.grid.height, cube.grid.width, self.tile)
@@ -97,11 +100,18 @@ class TiledProducer(Producer):
         """Whether the tile is worked on; where this fails, it is."""
         return True
 
+    def init(self, cube, request: Request) -> None:
+        """Before any tile."""
+
     def process(self, rows, tile: tuple[int, int]):
         raise NotImplementedError
 
-    def compute_tiles(self, cube, request: Request) -> tuple[dict[str, DataFrame], DataFrame]:
-        """Outputs, and a metric row for each tile: ty, tx, elapsed, ok, error."""
+    def finalize(self, cube, request: Request, versions: dict[str, int]) -> dict[str, int]:
+        """After all tiles; what the run reports."""
+        return versions
+
+    def compute_tiles(self, cube, request: Request) -> tuple[dict[str, DataFrame], DataFrame, Callable[[], None]]:
+        """Outputs, a metric row for each tile (ty, tx, elapsed, attempts, ok, error), and what removes the stage."""
         keep = []
         for t in self.tiles(cube, request):
             try:
@@ -117,7 +127,7 @@ class TiledProducer(Producer):
             cells = cells.join(df.select("y", "x", F.col("value").alias(n)), ["y", "x"], "left")
         held = F.broadcast(cube.spark.createDataFrame(keep, "ty int, tx int"))  # one row for each tile of the plan
         haloed = stencil.haloed_tiles(cells, self.tile, self.capabilities.halo_cells, h, w).join(held, ["ty", "tx"])
-        work = self.process
+        work, attempts = self.process, max(1, self.attempts)
 
         def one(key, rows):
             import time
@@ -125,31 +135,51 @@ class TiledProducer(Producer):
             import pandas as pd
 
             began = time.perf_counter()
-            try:
-                out = work(rows, (int(key[0]), int(key[1])))[["y", "x", "value"]]
-                inner = rows.loc[rows.is_inner, ["y", "x"]]
-                out = out.merge(inner, on=["y", "x"])
-                error = None
-            except Exception as e:
-                out, error = pd.DataFrame({"y": [-1], "x": [-1], "value": [float("nan")]}), f"{type(e).__name__}: {e}"
-            return out.assign(ty=key[0], tx=key[1], elapsed=time.perf_counter() - began, error=error)
-
-        done = haloed.groupBy("ty", "tx").applyInPandas(one, "y int, x int, value double, ty int, tx int, elapsed double, error string")
-        return {names_of(self.produces)[0]: done.where("error is null").select("y", "x", "value")}, done.groupBy("ty", "tx").agg(
-            F.max("elapsed").alias("elapsed"), F.max("error").alias("error")
-        ).withColumn("ok", F.col("error").isNull())
+            for turn in range(1, attempts + 1):
+                try:
+                    out = work(rows.copy(), (int(key[0]), int(key[1])))[["y", "x", "value"]]
+                    out = out.merge(rows.loc[rows.is_inner, ["y", "x"]], on=["y", "x"])
+                    error = None
+                    break
+                except Exception as e:
+                    out, error = pd.DataFrame({"y": [], "x": [], "value": []}), f"{type(e).__name__}: {e}"
+            # the tile's own row has no cell
+            mark = pd.DataFrame({"y": [-1], "x": [-1], "value": [float("nan")]})
+            out = pd.concat([mark, out.astype({"y": int, "x": int, "value": float})], ignore_index=True)
+            return out.assign(ty=key[0], tx=key[1], elapsed=time.perf_counter() - began, attempts=turn, error=error)
+
+        schema = "y int, x int, value double, ty int, tx int, elapsed double, attempts int, error string"
+        stage = cube.stage(f"tiles-{self.name}")
+        haloed.groupBy("ty", "tx").applyInPandas(one, schema).write.parquet(stage)
+        done = cube.spark.read.schema(schema).parquet(stage)
+        metrics = done.where("y = -1").select("ty", "tx", "elapsed", "attempts", F.col("error").isNull().alias("ok"), "error")
+        return {names_of(self.produces)[0]: done.where("y >= 0").select("y", "x", "value")}, metrics, lambda: cube.unstage(stage)
 
     def run(self, cube, request: Request) -> dict[str, int]:
-        """Nothing is written if a tile failed."""
-        outputs, metrics = self.compute_tiles(cube, request)
-        if failed := metrics.where("not ok").orderBy("ty", "tx").limit(4).collect():
-            raise TilesFailed([f"tile {r.ty},{r.tx}: {r.error}" for r in failed[:3]], more=len(failed) > 3)
-        return self.update(cube, outputs, request)
+        return run_tiles(self, cube, request)[0]
+
+
+def run_tiles(producer: TiledProducer, cube, request: Request, seen: Callable[[list], None] = lambda rows: None) -> tuple[dict[str, int], int]:
+    """init, tiles, update and finalize; ``seen`` gets the tiles' metrics before a failure is raised.
+
+    Nothing is written if a tile failed. Returns the versions and the most attempts at a tile.
+    """
+    producer.init(cube, request)
+    outputs, metrics, unstage = producer.compute_tiles(cube, request)
+    try:
+        rows = metrics.orderBy("ty", "tx").collect()  # a row a tile
+        seen(rows)
+        if bad := [f"tile {r.ty},{r.tx}: {r.error}" for r in rows if not r.ok]:
+            raise TilesFailed(bad[:3], more=len(bad) - 3)
+        versions = producer.update(cube, outputs, request)
+    finally:
+        unstage()
+    return dict(producer.finalize(cube, request, versions) or {}), max((r.attempts for r in rows), default=1)
 
 
 class TilesFailed(RuntimeError):
-    def __init__(self, errors: list[str], more: bool = False):
-        super().__init__("; ".join(errors) + " (and more)" * more)
+    def __init__(self, errors: list[str], more: int = 0):
+        super().__init__("; ".join(errors) + f" (+{more} more)" * (more > 0))
         self.errors = errors
 
 

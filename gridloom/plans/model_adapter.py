@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import physics
-from gridloom.model import MergePolicy, Request, VarSpec
+from gridloom.model import Grid, MergePolicy, Request, VarSpec
 from gridloom.plans.contracts import Producer
 
 
@@ -112,7 +112,7 @@ class FireModel(CommandModel):
         def field(n: str, op: str) -> DataFrame:
             at = out / f"{n}.parquet"
             if not at.exists():
-                return spark.createDataFrame([], "y int, x int, value double")
+                return missing_field(spark, *self.shape)
             cells = spark.createDataFrame(pd.read_parquet(at), "y int, x int, value double")
             h, w = self.shape
             return block_reduce(cells, self.refine, h * self.refine, w * self.refine, op)
@@ -156,6 +156,25 @@ def newest(paths: Sequence[str]) -> str:
     return max(paths)
 
 
+def missing_field(spark, height: int, width: int) -> DataFrame:
+    """A field of a variable that a model didn't write: every cell is there, and missing."""
+    return Grid(0, 1.0, width, height, 0.0, 0.0).cells(spark).select("y", "x", F.lit(None).cast("double").alias("value"))
+
+
+def surface_field(levels: DataFrame | None, spark, height: int, width: int) -> DataFrame:
+    """Of a model's (t, level, y, x, value), or (t, y, x, value), the lowest level of the last step on the grid.
+
+    Cells beyond the grid are cut off; without the variable every cell is missing.
+    """
+    if levels is None:
+        return missing_field(spark, height, width)
+    inside = levels.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    rank = F.struct("t", (-F.col("level")).alias("up")) if "level" in levels.columns else F.col("t")
+    # the field's last step, of which each cell's lowest level counts; combined before the shuffle
+    last = F.broadcast(levels.agg(F.max("t").alias("last")))  # one row
+    return inside.join(last, F.col("t") == F.col("last")).groupBy("y", "x").agg(F.max_by("value", rank).cast("double").alias("value"))
+
+
 def last_frame(cells: DataFrame, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """Each cell's value at its last time; an aggregate, combined before the shuffle."""
     return cells.groupBy(*keys).agg(F.max_by("value", "t").alias("value"))

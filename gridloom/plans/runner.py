@@ -18,7 +18,7 @@ from typing import Any
 
 from gridloom.log import get_logger
 from gridloom.model import Request, VarSpec
-from gridloom.plans.contracts import ProducerRegistry, TilesFailed, is_tiled, names_of, specs_of
+from gridloom.plans.contracts import ProducerRegistry, is_tiled, names_of, run_tiles, specs_of
 from gridloom.plans.pipeline import Pipeline
 from gridloom.plans.retry import RetryPolicy, attempt
 
@@ -32,6 +32,7 @@ class TileMetric:
     elapsed_s: float
     ok: bool
     error: str | None = None
+    attempts: int = 1
 
 
 @dataclass
@@ -192,14 +193,12 @@ class PipelineRunner:
         return step
 
     def _tiled(self, producer, cube, request: Request, tiles: list[TileMetric]) -> dict[str, int]:
-        """One grouped job over all tiles; their metrics are its other result."""
-        outputs, metrics = producer.compute_tiles(cube, request)
-        tiles[:] = [TileMetric(r.ty, r.tx, r.elapsed, r.ok, r.error) for r in metrics.orderBy("ty", "tx").collect()]
-        bad = [t for t in tiles if not t.ok]
-        if bad:
-            more = f" (+{len(bad) - 3} more)" * (len(bad) > 3)
-            raise TilesFailed([f"tile {t.ty},{t.tx}: {t.error}" for t in bad[:3]] + ([more] if more else []))
-        return producer.update(cube, outputs, request)
+        """One grouped job over all tiles, whose metrics are kept also where tiles fail."""
+
+        def seen(rows) -> None:
+            tiles[:] = [TileMetric(r.ty, r.tx, r.elapsed, r.ok, r.error, r.attempts) for r in rows]
+
+        return run_tiles(producer, cube, request, seen)[0]
 
     def _fire(self, source: str, cube, pipeline: Pipeline, waiting: dict[str, set[str]], done: set[str], result: RunResult) -> None:
         for t in pipeline.triggers:

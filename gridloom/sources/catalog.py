@@ -32,8 +32,8 @@ KEYS = {
     "run_outputs": ["run_id", "variable", "version"], "run_libs": ["run_id", "name"], "checkpoints": ["producer", "step_id"], "cube_meta": ["key"],
 }
 
-#: Replaced tables that stay.
-KEPT = 32
+#: Replaced tables that stay; between a table's folders, and how many it has before it is written whole.
+KEPT, PART, PARTS = 32, ",", 64
 
 
 class Catalog:
@@ -48,7 +48,7 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         at = self.state["tables"].get(name)
         schema = SCHEMAS[name]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{at}") if at else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in at.split(PART)]) if at else self.spark.createDataFrame([], schema)
 
     def next_sequence(self) -> int:
         return self.state["sequence"] + 1
@@ -62,10 +62,25 @@ class Catalog:
         old = self.state.get("old", []) + [self.state["tables"][name] for name in tables if name in self.state["tables"]]
         # plans that are still running may read the tables of before
         gone, old = old[:-KEPT], old[-KEPT:]
-        self.state = {"sequence": n, "tables": self.state["tables"] | fresh, "old": old}
-        files.write_text(self.spark, self._pointer, json.dumps(self.state))
+        self._move({"sequence": n, "tables": self.state["tables"] | fresh, "old": old})
         for at in gone:
-            files.delete(self.spark, f"{self.root}/{at}")
+            for part in at.split(PART):
+                files.delete(self.spark, f"{self.root}/{part}")
+
+    def _move(self, state: dict) -> None:
+        files.write_text(self.spark, self._pointer, json.dumps(state))
+        self.state = state
+
+    def add(self, name: str, rows: list[tuple]) -> None:
+        """Insert rows of new keys without writing the others again, but for every ``PARTS``-th time."""
+        at = self.state["tables"].get(name)
+        if not at or at.count(PART) + 1 >= PARTS:
+            self.put(name, rows)
+            return
+        n = self.next_sequence()
+        fresh = f"{name}-{n:08d}"
+        self.rows(name, rows).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{fresh}")
+        self._move(self.state | {"sequence": n, "tables": self.state["tables"] | {name: f"{at}{PART}{fresh}"}})
 
     def rows(self, name: str, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, SCHEMAS[name])

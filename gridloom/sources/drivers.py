@@ -6,6 +6,8 @@ The network services that feed such drivers are behind plain functions here
 
 from __future__ import annotations
 
+import hashlib
+import math
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -78,9 +80,8 @@ class ThermalDriver(Driver):
         return cells.select("y", "x", j, physics.thermal_power(j, self.pulse_s).alias("thermal_power"), physics.burning_annulus(j, low, high).alias("ignition_t0"), physics.burnable(j, high).alias("burnable"))
 
     def fetch(self, cube, t_start=None, t_end=None):
-        field = self.field(cube)
-        for name, units, dtype in (("thermal_fluence", "MJ/m2", "float"), ("thermal_power", "kW/m2", "float"), ("ignition_t0", "s", "float"), ("burnable", "", "tinyint")):
-            cube.write_static(name, field.select("y", "x", F.col(name).alias("value")), source=f"kml:{self.kml_path}", units=units, producer=self.name, dtype=dtype)
+        kinds = (("thermal_fluence", "MJ/m2", "float"), ("thermal_power", "kW/m2", "float"), ("ignition_t0", "s", "float"), ("burnable", "", "tinyint"))
+        cube.write_together(self.field(cube), {n: dict(source=f"kml:{self.kml_path}", units=units, producer=self.name, dtype=dtype) for n, units, dtype in kinds})
         return list(self.produces)
 
 
@@ -99,9 +100,10 @@ class UniformFuelDriver(Driver):
         cells = cube.grid.cells(cube.spark).select("y", "x")
         value = F.lit(self.category)
         if self.mask is not None:
-            n = self.mask.count()
-            if n != cube.grid.width * cube.grid.height:
-                raise ValueError(f"the mask has {n} cells, the grid {cube.grid.width * cube.grid.height}")
+            inside = F.col("y").between(0, cube.grid.height - 1) & F.col("x").between(0, cube.grid.width - 1)
+            n = self.mask.where(inside).select("y", "x").distinct().count()
+            if n != cube.grid.width * cube.grid.height or n != self.mask.count():
+                raise ValueError(f"the mask must hold each of the grid's {cube.grid.width * cube.grid.height} cells once; it has {n} of them")
             cells = cells.join(self.mask.select("y", "x", F.col("value").alias("masked")), ["y", "x"], "left")
             value = F.when(F.col("masked").cast("boolean"), self.no_fuel).otherwise(self.category)
         cube.write_static("nfuel_cat", cells.select("y", "x", value.alias("value")), source=f"uniform_fuel({self.category})", units="category", producer=self.name, dtype="smallint")
@@ -182,8 +184,7 @@ class DemDriver(Driver):
         note = dict(source="dem", native_res_m=self.native_res_m, producer=self.name)
         cube.write_static("dem", dem, units="m", **note)
         graded = stencil.slope_aspect(cube.read_static("dem"), cube.grid.pixel_m)
-        for name in ("slope_deg", "aspect_deg"):
-            cube.write_static(name, graded.select("y", "x", F.col(name).alias("value")), units="deg", **note)
+        cube.write_together(graded.select("y", "x", "slope_deg", "aspect_deg"), dict.fromkeys(("slope_deg", "aspect_deg"), dict(units="deg", **note)))
         return list(self.produces)
 
 
@@ -218,8 +219,27 @@ class WindDriver(Driver):
     produces = ("wind_speed_ms", "wind_dir_deg")
     is_static = False
 
-    def __init__(self, path: str, step_deg: float = 0.25, retries: int = 3):
-        self.path, self.step, self.retries = path, step_deg, retries
+    def __init__(self, path: str, step_deg: float = 0.25, retries: int = 4, cache: str | None = None, wait_s: float = 1.0):
+        """``retries``: times the source is tried, with waits that double; ``cache``: a folder that
+        keeps the winds of a grid and window, which all executors reach."""
+        self.path, self.step, self.retries, self.cache, self.wait_s = path, step_deg, max(1, retries), cache, wait_s
+
+    def cache_path(self, cube: Cube, t_start: datetime, t_end: datetime) -> str:
+        g = cube.grid
+        key = f"{self.path}|{g.crs_epsg}|{g.width}|{g.height}|{g.pixel_m}|{g.x0:.3f}|{g.y1:.3f}|{t_start.isoformat()}|{t_end.isoformat()}"
+        return f"{self.cache}/wind_{hashlib.sha256(key.encode()).hexdigest()[:20]}"
+
+    def read_source(self, spark) -> DataFrame:
+        return spark.read.parquet(self.path)
+
+    def opened(self, spark) -> DataFrame:
+        for k in range(self.retries):
+            try:
+                return self.read_source(spark)
+            except Exception as e:
+                error = e
+                time.sleep(self.wait_s * 2**k if k + 1 < self.retries else 0)
+        raise RuntimeError(f"no winds at {self.path}: {error}") from error
 
     def interpolated(self, cube: Cube, t_start: datetime, t_end: datetime) -> DataFrame:
         """(t, y, x, u, v)."""
@@ -227,7 +247,7 @@ class WindDriver(Driver):
         lon, lat = geo.lonlat_columns(F.col("cx"), F.col("cy"), cube.grid.crs_epsg)
         cells = cube.grid.cells(cube.spark).select("y", "x", geo.lon_0_360(lon).alias("lon"), lat.alias("lat"))
         area = cells.agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n")).first()
-        rows = cube.spark.read.parquet(self.path)
+        rows = self.opened(cube.spark)
         near = rows.where(F.col("latitude").between(area.s - PAD_DEG, area.n + PAD_DEG) & F.col("longitude").between(area.w - PAD_DEG, area.e + PAD_DEG))
         near = near.where((F.col("time") >= temporal.at(first)) & (F.col("time") <= temporal.at(last)))
         base = near.agg(F.min("latitude").alias("lat0"), F.min("longitude").alias("lon0")).first()
@@ -240,14 +260,46 @@ class WindDriver(Driver):
     def fetch(self, cube, t_start=None, t_end=None):
         if t_start is None or t_end is None:
             raise ValueError("wind needs both ends of a window")
-        wind = self.interpolated(cube, t_start, t_end)
-        note = dict(source=f"parquet:{self.path}", native_res_m=self.step * DEGREE_M, producer=self.name)
         u, v = F.col("u"), F.col("v")
-        cube.write_time("wind_speed_ms", wind.select("t", "y", "x", physics.wind_speed(u, v).alias("value")), units="m/s", **note)
-        cube.write_time("wind_dir_deg", wind.select("t", "y", "x", physics.wind_direction(u, v).alias("value")), units="deg", **note)
+        columns = lambda wind: wind.select("t", "y", "x", physics.wind_speed(u, v).alias("wind_speed_ms"), physics.wind_direction(u, v).alias("wind_dir_deg"))
+        if self.cache is None:
+            made = columns(self.interpolated(cube, t_start, t_end))
+        else:
+            at = self.cache_path(cube, t_start, t_end)
+            try:
+                made = cube.spark.read.parquet(at)
+                made = made.select("t", "y", "x", *self.produces)
+            except Exception:  # not there, or not whole
+                columns(self.interpolated(cube, t_start, t_end)).write.mode("overwrite").parquet(at)
+                made = cube.spark.read.parquet(at)
+        note = dict(source=f"parquet:{self.path}", native_res_m=self.step * DEGREE_M, producer=self.name)
+        cube.write_together(made, {"wind_speed_ms": dict(units="m/s", **note), "wind_dir_deg": dict(units="deg", **note)})
         return list(self.produces)
 
 
+def centre_wind(speed: DataFrame, direction: DataFrame, at: datetime, height: int, width: int) -> tuple[float, float] | None:
+    """(u, v) at the grid's middle cell and the step nearest to the hour of ``at``; None without steps.
+
+    Both variables (t, y, x, value) must have the same steps; of two equally
+    near the earlier counts. Directions are those the wind comes from.
+    """
+    middle = (F.col("y") == height // 2) & (F.col("x") == width // 2)
+    named = lambda df, n: df.where(middle).select("t", F.col("value").alias(n), F.lit(True).alias(f"has_{n}"))
+    both = named(speed, "speed").join(named(direction, "direction"), "t", "full")
+    hour = F.lit(at.replace(minute=0, second=0, microsecond=0)).cast("timestamp_ntz")
+    away = F.abs(F.unix_micros(F.col("t").cast("timestamp")) - F.unix_micros(hour.cast("timestamp")))
+    found = both.agg(
+        F.min_by(F.struct("speed", "direction"), F.struct(away.alias("away"), "t")).alias("best"),
+        F.max(F.col("has_speed").isNull() | F.col("has_direction").isNull()).alias("apart"),
+    ).first()
+    if found.best is None:
+        return None
+    if found.apart:
+        raise ValueError("speed and direction have different steps")
+    turn = math.radians(found.best.direction)
+    return -found.best.speed * math.sin(turn), -found.best.speed * math.cos(turn)
+
+
 def met_patches(met: DataFrame, copies: dict[str, str], where_zero: dict[str, str]) -> DataFrame:
     """Meteorology with columns copied, and columns that are 0 taken from another."""
     out = met.withColumns({to: F.col(of) for to, of in copies.items() if of in met.columns})

@@ -1,14 +1,15 @@
 """A cube: variables on one grid, as versioned Parquet behind a catalog.
 
 <root>/vars/<name>/<version>/ty=/tx=/ holds a static variable, with t_day= above
-a time variable's tiles. A bulk write makes a new version and then points the
-catalog at it; appends and tile writes go into the current one. Reads return
+a time variable's tiles. Bulk writes and merges of tiles make a new version and
+then point the catalog at it; appended steps go into the current one. Reads return
 lazy DataFrames, whose filters prune partitions and reach the scan.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict
 from datetime import datetime, timezone
@@ -22,6 +23,8 @@ from gridloom.sources import files
 from gridloom.sources.catalog import Catalog
 
 TILE = 256
+#: Between the folders of a variable's path, and folders after which a merge writes the variable whole.
+LAYER, LAYERS = ";", 8
 
 
 def _now() -> datetime:
@@ -46,6 +49,13 @@ class Cube:
             files.write_text(spark, at, json.dumps(asdict(grid) | {"tile": tile}))
         self.catalog = Catalog(spark, f"{self.root}/catalog")
 
+    def stage(self, tag: str) -> str:
+        """An unused folder beside the variables, for rows that are read more than once."""
+        return f"{self.root}/stage/{tag}-{uuid.uuid4().hex[:12]}"
+
+    def unstage(self, path: str) -> None:
+        files.delete(self.spark, path)
+
     # Scans
 
     def _read(self, variable: str, kind: str | None = None) -> DataFrame:
@@ -54,9 +64,21 @@ class Cube:
             raise KeyError(f"no such variable: {variable}")
         if kind and row.kind != kind:
             raise ValueError(f"{variable} is a {row.kind} variable")
+        layers = row.path.split(LAYER)
+        parts = self._parts(row.kind)
+        out = self._layer(row, layers[-1])
+        merged = out.select(*parts).distinct()
+        for path in reversed(layers[:-1]):  # a tile is read from the last layer that has it
+            rows = self._layer(row, path)
+            out = out.unionByName(rows.join(merged, parts, "left_anti").select(*out.columns))
+            if path != layers[0]:
+                merged = merged.union(rows.select(*parts)).distinct()
+        return out
+
+    def _layer(self, row, path: str) -> DataFrame:
         keys = "t timestamp_ntz, " if row.kind == "time" else ""
         parts = "t_day date, " if row.kind == "time" else ""
-        return self.spark.read.schema(f"{keys}y int, x int, value {row.dtype}, {parts}ty int, tx int").parquet(f"{self.root}/{row.path}")
+        return self.spark.read.schema(f"{keys}y int, x int, value {row.dtype}, {parts}ty int, tx int").parquet(f"{self.root}/{path}")
 
     def read_static(self, variable: str) -> DataFrame:
         return self._read(variable, "static").select("y", "x", "value")
@@ -118,29 +140,54 @@ class Cube:
     def _parts(self, kind: str) -> list[str]:
         return (["t_day"] if kind == "time" else []) + ["ty", "tx"]
 
-    def _store(self, cells: DataFrame, path: str, kind: str, dtype: str, mode: str = "overwrite", dynamic: bool = False) -> None:
+    def _store(self, cells: DataFrame, path: str, kind: str, dtype: str, mode: str = "overwrite") -> None:
         parts = self._parts(kind)
         rows = self._laid_out(cells, kind, dtype).repartition(*parts)
-        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic" if dynamic else "static").partitionBy(*parts).parquet(f"{self.root}/{path}")
-
-    def _check_frame(self, cells: DataFrame) -> None:
-        outside = (F.col("y") < 0) | (F.col("y") >= self.grid.height) | (F.col("x") < 0) | (F.col("x") >= self.grid.width)
-        if not cells.where(outside).isEmpty():
+        rows.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(*parts).parquet(f"{self.root}/{path}")
+
+    def _check_stored(self, path: str) -> None:
+        """Refuse what lies outside the grid, by the tiles that were written: the plan isn't run again."""
+        rows = self.spark.read.schema("y int, x int").parquet(f"{self.root}/{path}")
+        at = rows.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()  # from the files' statistics, mostly
+        if at[0] is not None and (at[0] < 0 or at[1] >= self.grid.height or at[2] < 0 or at[3] >= self.grid.width):
+            files.delete(self.spark, f"{self.root}/{path}")
             raise ValueError("cells lie outside the grid")
 
-    def _write(self, variable: str, cells: DataFrame, kind: str, *, source: str, native_res_m: float, units: str, producer: str, description: str, dtype: str) -> int:
-        self._check_frame(cells)
+    def _unused(self, variable: str) -> tuple[str, int]:
+        """The next version's folder; another one than what a write that broke off has left."""
         version = self.catalog.latest_version(variable) + 1
-        path = f"vars/{variable}/{version:06d}"
+        return f"vars/{variable}/{version:06d}-{uuid.uuid4().hex[:6]}", version
+
+    def _write(self, variable: str, cells: DataFrame, kind: str, *, source: str, native_res_m: float, units: str, producer: str, description: str, dtype: str) -> int:
+        path, version = self._unused(variable)
         self._store(cells, path, kind, dtype)
-        steps = [None]
-        if kind == "time":
-            written = self.spark.read.schema("t timestamp_ntz").parquet(f"{self.root}/{path}")
-            steps = [r.t for r in written.select("t").distinct().orderBy("t").collect()]
+        self._check_stored(path)
         with self.catalog.lock:
-            self._point_at(variable, kind, units, dtype, description, producer, path, source, float(native_res_m), version, steps)
+            self._point_at(variable, kind, units, dtype, description, producer, path, source, float(native_res_m), version, self._steps_at(path, kind))
         return version
 
+    def _steps_at(self, path: str, kind: str) -> list[datetime | None]:
+        if kind != "time":
+            return [None]
+        written = self.spark.read.schema("t timestamp_ntz").parquet(f"{self.root}/{path}")
+        return [r.t for r in written.select("t").distinct().orderBy("t").collect()]
+
+    def write_together(self, cells: DataFrame, columns: dict[str, dict]) -> dict[str, int]:
+        """Several variables from the columns of one frame, whose plan runs once; notes by column as of ``write_static``.
+
+        A frame with t makes time variables. Returns the versions.
+        """
+        stage = self.stage("frame")
+        kind = "time" if "t" in cells.columns else "static"
+        keys = (["t"] if kind == "time" else []) + ["y", "x"]
+        try:
+            cells.select(*keys, *columns).write.parquet(stage)
+            staged = self.spark.read.schema(cells.select(*keys, *columns).schema).parquet(stage)
+            write = self.write_time if kind == "time" else self.write_static
+            return {n: write(n, staged.select(*keys, F.col(n).alias("value")), **note) for n, note in columns.items()}
+        finally:
+            self.unstage(stage)
+
     def _point_at(self, variable, kind, units, dtype, description, producer, path, source, native_res_m, version, steps) -> None:
         seq = self.catalog.next_sequence()
         known = self.catalog.rows("variables", [(variable, kind, units, dtype, description, producer, path)])
@@ -172,36 +219,56 @@ class Cube:
             return True
         if row.kind != "time":
             raise ValueError(f"{variable} is a {row.kind} variable")
-        self._check_frame(stamped)
-        self._store(stamped, row.path, "time", row.dtype, mode="append")
+        if LAYER in row.path:  # its tiles of that day may be in a later layer
+            self.write_tiles(variable, stamped)
+            return True
+        # a step is checked in a stage before it joins the others
+        stage = f"stage/step-{uuid.uuid4().hex[:12]}"
+        self._store(stamped, stage, "time", row.dtype)
+        self._check_stored(stage)
+        self._store(self._layer(row, stage).select("t", "y", "x", "value"), row.path, "time", row.dtype, mode="append")
+        self.unstage(f"{self.root}/{stage}")
         res = float(self.grid.pixel_m if native_res_m is None else native_res_m)
         with self.catalog.lock:
-            self.catalog.put("tiles", [(variable, t, source, res, self.catalog.latest_version(variable), _now(), self.catalog.next_sequence())])
+            self.catalog.add("tiles", [(variable, t, source, res, self.catalog.latest_version(variable), _now(), self.catalog.next_sequence())])
         return True
 
-    def write_tiles(self, variable: str, cells: DataFrame, policy: MergePolicy = MergePolicy.LAST_WRITER) -> None:
-        """Merge cells into the tiles that they lie in; other tiles stay untouched.
+    def write_tiles(self, variable: str, cells: DataFrame, policy: MergePolicy = MergePolicy.LAST_WRITER) -> int:
+        """Merge cells into the tiles that they lie in; returns the variable's new version.
 
-        Rows of a halo (is_inner false) are left out.
+        Rows of a halo (is_inner false) are left out. The merged tiles are a new
+        layer over the variable's folders, to which the catalog is pointed last:
+        readers see all of them or none, a merge that breaks off changes nothing,
+        and other tiles aren't rewritten. The ``LAYERS``-th layer writes the
+        variable whole instead.
         """
         row = self.catalog.variable(variable)
         if row is None:
             raise KeyError(f"no such variable: {variable}")
         if "is_inner" in cells.columns:
             cells = cells.where("is_inner").drop("is_inner")
-        self._check_frame(cells)
         keys = ("t", "y", "x") if row.kind == "time" else ("y", "x")
         parts = self._parts(row.kind)
-        new = self._laid_out(cells, row.kind, row.dtype)
-        old = self._read(variable).join(F.broadcast(new.select(*parts).distinct()), parts, "left_semi")
-        whole = merge.merge_cells(old.select(*keys, "value"), new.select(*keys, "value"), policy, keys)
-        # the merged tiles are written beside and then moved in: a plan can't overwrite what it reads
-        beside = f"{row.path}.tiles"
-        self._store(whole, beside, row.kind, row.dtype)
-        names = (["t"] if row.kind == "time" else []) + ["y", "x", "value"]
-        back = self.spark.read.schema(self._read(variable).schema).parquet(f"{self.root}/{beside}").select(*names)
-        self._store(back, row.path, row.kind, row.dtype, dynamic=True)
-        files.delete(self.spark, f"{self.root}/{beside}")
+        stage = f"stage/tiles-{uuid.uuid4().hex[:12]}"
+        self._store(cells, stage, row.kind, row.dtype)
+        try:
+            self._check_stored(stage)
+            new = self._layer(row, stage)
+            path, version = self._unused(variable)
+            old = self._read(variable)
+            if row.path.count(LAYER) + 1 < LAYERS:
+                old = old.join(new.select(*parts).distinct(), parts, "left_semi")
+                layers = f"{row.path}{LAYER}{path}"
+            else:
+                layers = path
+            self._store(merge.merge_cells(old.select(*keys, "value"), new.select(*keys, "value"), policy, keys), path, row.kind, row.dtype)
+            steps = sorted({*self.times(variable), *self._steps_at(stage, row.kind)}) if row.kind == "time" else [None]
+        finally:
+            self.unstage(f"{self.root}/{stage}")
+        with self.catalog.lock:
+            latest = self.catalog.table("tiles").where(F.col("variable") == variable).orderBy(F.col("seq").desc()).first()
+            self._point_at(variable, row.kind, row.units, row.dtype, row.description, row.producer, layers, latest.source, latest.native_res_m, version, steps)
+        return version
 
     def init_static(self, variable: str, fill: float | None = None, *, overwrite: bool = False, units: str = "", producer: str = "", description: str = "", dtype: str = "float", source: str = "") -> None:
         """Make the variable, holding ``fill`` everywhere (nothing where None); keep one that is there."""

@@ -2,6 +2,7 @@ import sys
 import textwrap
 import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from gridloom.model import Capabilities, Grid, MergePolicy, Request, TileSpec, V
 from gridloom.plans import contract_kit, lineage
 from gridloom.plans.adapter import DataAdapter, DataNeed, NoDataAvailable
 from gridloom.plans.contracts import DriverProducer, FunctionProducer, Producer, ProducerRegistry, TiledProducer, as_registry
-from gridloom.plans.model_adapter import CommandModel, FireModel, namelist, patched_namelist
+from gridloom.plans.model_adapter import CommandModel, FireModel, namelist, patched_namelist, surface_field
 from gridloom.plans.pipeline import Pipeline, parallel
 from gridloom.plans.retry import RetryPolicy, attempt
 from gridloom.plans.runner import PipelineRunner
@@ -173,7 +174,67 @@ def test_tiled_producers_see_their_halo(cube):
     failed = PipelineRunner(reg, verbose=False).run(cube, Pipeline().add("smooth"), force=True)
     assert failed.step("smooth").error.endswith("tile 1,1: ValueError: no") and cube.catalog.latest_version("mean") == 1
     p.bad, p.wanted = None, lambda cube, request, tile: tile.y[0] == 0
-    assert p.compute_tiles(cube, Request())[1].count() == 3
+    _, metrics, unstage = p.compute_tiles(cube, Request())
+    assert metrics.count() == 3
+    unstage()
+
+
+class Counted(Smooth):
+    """Writes a file for each call, so that calls in workers can be counted."""
+
+    name, folder, fails, attempts = "smooth", "", (), 1
+
+    def init(self, cube, request):
+        self.log = ["init"]
+
+    def finalize(self, cube, request, versions):
+        self.log.append("finalize")
+        return versions
+
+    def process(self, rows, tile):
+        n = len(list(Path(self.folder).glob(f"{tile[0]}-{tile[1]}-*")))
+        (Path(self.folder) / f"{tile[0]}-{tile[1]}-{n}").touch()
+        if (*tile, n) in self.fails:
+            raise ValueError("not now")
+        return rows.assign(value=1.0)
+
+
+def test_each_tile_is_worked_once(cube, tmp_path):
+    cube.write_static("raw", cube.grid.cells(cube.spark).select("y", "x", F.lit(1.0).alias("value")))
+    p = Counted()
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    p.folder = str(calls)
+    run = lambda: PipelineRunner(ProducerRegistry([p]), verbose=False).run(cube, Pipeline().add("smooth"), force=True).step("smooth")
+    assert run().status == "ok" and len(list(calls.iterdir())) == 9 and p.log == ["init", "finalize"]
+    # a tile that would fail if it were worked again can't spoil what was written
+    assert cube.read_static("mean").count() == 30
+    p.fails = {(0, 1, 1)}
+    step = run()
+    assert step.status == "error" and len(list(calls.iterdir())) == 18 and p.log == ["init"]
+    assert step.tile_summary()["errors"] == 1 and cube.catalog.latest_version("mean") == 1
+    p.fails, p.attempts = {(0, 1, 2)}, 2
+    step = run()
+    assert step.status == "ok" and max(t.attempts for t in step.tiles) == 2 and len(list(calls.iterdir())) == 18 + 10
+
+
+def test_needs_are_found_by_name():
+    need = DataNeed("wind", "time", units="m/s", dtype="double", description="of the day")
+    adapter = DataAdapter([need, VarSpec("dem", units="m")])
+    assert adapter.need("wind") is need and adapter.varspecs()[0].units == "m/s" and adapter.varspecs()[1].units == "m"
+    with pytest.raises(KeyError):
+        adapter.need("nothing")
+
+
+def test_fields_of_models(spark):
+    rows = [(t, z, y, x, 100.0 * t + 10 * z + y + x) for t in (0, 1) for z in (0, 1) for y in range(3) for x in range(4)]
+    levels = spark.createDataFrame(rows, "t int, level int, y int, x int, value double")
+    got = {(r.y, r.x): r.value for r in surface_field(levels, spark, 2, 4).collect()}
+    assert got == {(y, x): 100.0 + y + x for y in range(2) for x in range(4)}
+    flat = surface_field(levels.where("level = 1").drop("level"), spark, 3, 4)
+    assert {r.value - r.y - r.x for r in flat.collect()} == {110.0}
+    none = surface_field(None, spark, 2, 3).collect()
+    assert len(none) == 6 and {r.value for r in none} == {None}
 
 
 def test_adapter_resolves_and_fetches(cube):

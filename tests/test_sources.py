@@ -120,6 +120,38 @@ def test_fuel_and_dem_drivers(cube):
     assert mean == pytest.approx(sum(x * 1000 for x in range(w)) / w, rel=1e-2)
 
 
+def test_wind_is_retried_cached_and_sampled(cube, tmp_path):
+    t = datetime(2026, 1, 1)
+    rows = [(t + timedelta(hours=h), 30.0 + 0.25 * i, 260.0 + 0.25 * j, 3.0 + h, 4.0) for h in range(4) for i in range(24) for j in range(24)]
+    cube.spark.createDataFrame(rows, "time timestamp_ntz, latitude double, longitude double, u float, v float").write.parquet(str(tmp_path / "wind"))
+
+    class Flaky(drivers.WindDriver):
+        calls = 0
+
+        def read_source(self, spark):
+            self.calls += 1
+            if self.calls < 3:
+                raise OSError("busy")
+            return super().read_source(spark)
+
+    driver = Flaky(str(tmp_path / "wind"), retries=3, cache=str(tmp_path / "cache"), wait_s=0.0)
+    assert driver.fetch(cube, t, t + timedelta(hours=3)) == ["wind_speed_ms", "wind_dir_deg"] and driver.calls == 3
+    before = cube.read_time("wind_speed_ms").agg(F.sum("value")).first()[0]
+    driver.fetch(cube, t, t + timedelta(hours=3))
+    assert driver.calls == 3 and cube.read_time("wind_speed_ms").agg(F.sum("value")).first()[0] == before
+    driver.fetch(cube, t, t + timedelta(hours=2))  # another window
+    assert driver.calls == 4
+    broken = Flaky(str(tmp_path / "wind"), retries=2, wait_s=0.0)
+    with pytest.raises(RuntimeError, match="busy"):
+        broken.fetch(cube, t, t + timedelta(hours=1))
+    speed, direction = cube.read_time("wind_speed_ms"), cube.read_time("wind_dir_deg")
+    u, v = drivers.centre_wind(speed, direction, t + timedelta(minutes=80), *cube.grid.shape)
+    assert (u, v) == (pytest.approx(4.0, abs=1e-4), pytest.approx(4.0, abs=1e-4))
+    assert drivers.centre_wind(speed.limit(0), direction.limit(0), t, *cube.grid.shape) is None
+    with pytest.raises(ValueError):
+        drivers.centre_wind(speed, direction.where(F.col("t") > F.lit(t)), t, *cube.grid.shape)
+
+
 def test_uniform_fuel(cube):
     cells = cube.grid.cells(cube.spark)
     drivers.UniformFuelDriver(5, mask=cells.select("y", "x", (F.col("x") == 0).alias("value"))).fetch(cube)
@@ -128,6 +160,8 @@ def test_uniform_fuel(cube):
         drivers.UniformFuelDriver(-1)
     with pytest.raises(ValueError):
         drivers.UniformFuelDriver(mask=cells.limit(3).select("y", "x", F.lit(True).alias("value"))).fetch(cube)
+    with pytest.raises(ValueError):  # as many rows, but other cells
+        drivers.UniformFuelDriver(mask=cells.select((F.col("y") + 1).alias("y"), "x", F.lit(True).alias("value"))).fetch(cube)
     d = drivers.register(drivers.UniformFuelDriver())
     assert drivers.driver_for("nfuel_cat") is d and drivers.all_drivers() == [d]
     drivers.reset_registry()

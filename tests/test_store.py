@@ -89,6 +89,80 @@ def test_tile_writes_leave_other_tiles(cube):
     assert cube.read_filled("b", -1.0).where("value = -1").count() == 99
 
 
+def test_layers_of_merged_tiles(cube, monkeypatch):
+    from gridloom.sources import store
+
+    monkeypatch.setattr(store, "LAYERS", 3)
+    cube.write_time("w", hourly(cube, 2, 1.0))
+    want = {(T0 + timedelta(hours=h), y, x): 1.0 for h in range(2) for y in range(9) for x in range(11)}
+    for k in range(4):
+        y, t = (k * 3) % 9, T0 + timedelta(hours=k % 2)
+        cells = ramp(cube).where(F.col("y") == y).select(F.lit(t).cast("timestamp_ntz").alias("t"), "y", "x", F.lit(float(k)).alias("value"))
+        assert cube.write_tiles("w", cells) == k + 2
+        want |= {(t, y, x): float(k) for x in range(11)}
+        assert {(r.t, r.y, r.x): r.value for r in cube.read_time("w").collect()} == want
+        assert cube.catalog.variable("w").path.count(store.LAYER) < 3
+    later = T0 + timedelta(hours=5)
+    assert cube.append_step("w", later, ramp(cube)) and not cube.append_step("w", later, ramp(cube))
+    assert cube.times("w") == [T0, T0 + timedelta(hours=1), later] and cube.read_time("w").count() == 3 * 99
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["_store", "_check_stored", "swap", "write_text"])
+def test_writes_that_break_off_change_nothing(cube, monkeypatch, step):
+    cube.init_static("a", 7.0)
+
+    def boom(*args, **kwargs):
+        raise Killed
+
+    where = {"swap": cube.catalog, "write_text": files}.get(step, cube)
+    for work in (lambda c: c.write_tiles("a", ramp(c)), lambda c: c.write_static("a", ramp(c)), lambda c: c.write_static("b", ramp(c))):
+        with monkeypatch.context() as m:
+            m.setattr(where, step, boom)
+            with pytest.raises(Killed):
+                work(cube)
+        again = Cube(cube.spark, cube.root)
+        assert {r.value for r in again.read_static("a").collect()} == {7.0} and again.catalog.list_variables() == ["a"]
+        assert again.catalog.state == cube.catalog.state
+    assert cube.write_static("a", ramp(cube)) == 2
+
+
+def test_pointers_are_replaced_whole(spark, tmp_path):
+    at = str(tmp_path / "pointer.json")
+    files.write_text(spark, at, "one")
+    files.write_text(spark, f"file:{at}", "two")
+    assert files.read_text(spark, at) == "two" and files.listed(spark, str(tmp_path)) == ["pointer.json"]
+
+
+def test_appends_do_not_write_the_catalog_again(cube, monkeypatch):
+    from gridloom.sources import catalog
+
+    monkeypatch.setattr(catalog, "PARTS", 3)
+    for k in range(6):
+        cube.append_step("w", T0 + timedelta(hours=k), ramp(cube).limit(3))
+    assert len(cube.times("w")) == 6 and Cube(cube.spark, cube.root).times("w") == cube.times("w")
+
+
+def test_write_together_runs_its_plan_once(cube):
+    from pyspark.sql import types as T
+
+    rows = cube.spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            rows.add(len(pdf))
+            yield pdf.assign(b=pdf.value * 2)
+
+    made = ramp(cube).mapInPandas(seen, T.StructType([*ramp(cube).schema.fields, T.StructField("b", T.DoubleType())]))
+    assert cube.write_together(made.withColumnRenamed("value", "a"), {"a": {"units": "m"}, "b": {}}) == {"a": 1, "b": 1}
+    assert rows.value == 99 and cube.catalog.variable("a").units == "m"
+    assert cube.read_static("b").agg(F.max("value")).first()[0] == 196
+    assert not files.listed(cube.spark, f"{cube.root}/stage")
+
+
 def test_merge_by_policy_for_both_kinds(cube):
     low = VarSpec("arrival", merge_policy=MergePolicy.MONOTONE_MIN)
     cube.merge(low, ramp(cube), source="s", producer="p")
