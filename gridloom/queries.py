@@ -7,6 +7,7 @@ missing for some events where that matters; C takes orders as catalog tiles.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -187,14 +188,17 @@ def grid_cells(spark, sf_dir):
     return Grid(32614, 500.0, 11, 11, 700000.0, 3630000.0).cells(spark)
 
 
-@query()
+_AROUND = Grid.around(-96.797, 32.776, 50_000, 1000)
+
+
+@query(f"SELECT {_AROUND.x0} + (i % {_AROUND.width} + 0.5) * 1000 AS cx, {_AROUND.y1} - (i // {_AROUND.width} + 0.5) * 1000 AS cy, 0.0::DOUBLE AS moved_m FROM range({_AROUND.width * _AROUND.height}) t(i)")
 def utm_roundtrip(spark, sf_dir):
-    """How far cells move by the inverse and forward projection, in metres."""
-    cells = Grid.around(-96.797, 32.776, 50_000, 1000).cells(spark)
+    """How far cells move by the inverse and forward projection, in metres to the millimetre."""
+    cells = _AROUND.cells(spark)
     lon, lat = geo.lonlat_columns(F.col("cx"), F.col("cy"), 32614)
     there = cells.select("cx", "cy", lon.alias("lon"), lat.alias("lat"))
     x, y = geo.utm_columns(F.col("lon"), F.col("lat"), 32614)
-    return there.select("cx", "cy", F.hypot(x - F.col("cx"), y - F.col("cy")).alias("moved_m"))
+    return there.select("cx", "cy", F.round(F.hypot(x - F.col("cx"), y - F.col("cy")), 3).alias("moved_m"))
 
 
 @query("SELECT row_number() OVER (ORDER BY y0, x0)::INT - 1 AS tile, y0::INT AS y0, least(y0 + 12, 32)::INT AS y1, x0::INT AS x0, least(x0 + 12, 32)::INT AS x1 FROM range(0, 32, 12) a(y0), range(0, 32, 12) b(x0)")
@@ -384,12 +388,11 @@ def tile_latency_summary(spark, sf_dir):
 
 
 @query("""
-    WITH s AS (SELECT l_suppkey % 20 AS run_id, CASE l_returnflag WHEN 'A' THEN 'ok' WHEN 'N' THEN 'skipped' ELSE 'error' END AS status, l_quantity AS elapsed FROM lineitem WHERE l_suppkey % 3 > 0 OR l_returnflag <> 'R')
+    WITH s AS (SELECT l_orderkey AS run_id, CASE l_returnflag WHEN 'A' THEN 'ok' WHEN 'N' THEN 'skipped' ELSE 'error' END AS status, l_quantity AS elapsed FROM lineitem)
     SELECT run_id, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'skipped') AS n_skipped, count(*) FILTER (status = 'error') AS n_error, sum(elapsed) AS total_s, bool_and(status <> 'error') AS ok FROM s GROUP BY run_id""")
 def run_summary(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem").where("l_suppkey % 3 > 0 OR l_returnflag <> 'R'")
     status = F.when(F.col("l_returnflag") == "A", "ok").when(F.col("l_returnflag") == "N", "skipped").otherwise("error")
-    return catalogs.run_summary(rows.select((F.col("l_suppkey") % 20).alias("run_id"), status.alias("status"), F.col("l_quantity").alias("elapsed")))
+    return catalogs.run_summary(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), status.alias("status"), F.col("l_quantity").alias("elapsed")))
 
 
 @query("""
@@ -410,11 +413,12 @@ def source_priority_first_hit(spark, sf_dir):
 
 
 @query("""
-    WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 > 0), b AS (SELECT o_orderkey AS k, -o_totalprice AS v FROM orders WHERE o_orderkey % 3 < 2)
+    WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT o_orderkey AS k, -o_totalprice AS v FROM orders WHERE o_orderstatus <> 'F')
     SELECT k, v FROM b UNION ALL SELECT k, v FROM a WHERE k NOT IN (SELECT k FROM b)""")
 def catalog_upsert(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    return catalogs.upserted(orders.where("k % 3 > 0"), orders.where("k % 3 < 2").withColumn("v", -F.col("v")), ["k"])
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderstatus")
+    there, fresh = orders.where("o_orderstatus <> 'P'"), orders.where("o_orderstatus <> 'F'").withColumn("v", -F.col("v"))
+    return catalogs.upserted(there.drop("o_orderstatus"), fresh.drop("o_orderstatus"), ["k"])
 
 
 # Joins and cells ------------------------------------------------------------
@@ -582,3 +586,160 @@ def dag_layers(spark, sf_dir):
         p.add(b, after=[a])
     rows = [(node, k) for k, layer in enumerate(p.topological_layers()) for node in layer]
     return spark.createDataFrame(rows, "node string, layer int")
+
+
+# The engine itself: what goes through a cube, its catalog, producers, adapters and streams ----
+
+
+def _cube(spark: SparkSession, n: int = 32):
+    """A new cube in the folder that all executors share; it goes when the driver's JVM ends."""
+    from gridloom.sources.store import Cube
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/cube-{uuid.uuid4().hex[:12]}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return Cube(spark, path, Grid(32614, 500.0, n, n, 0.0, n * 500.0), tile=n // 2)
+
+
+def _timed(cells: DataFrame) -> DataFrame:
+    return cells.select(_stamp("t").alias("t"), "y", "x", _near("value").alias("value"))
+
+
+_TIMED = "strftime(t, '%Y-%m-%d %H:%M:%S') AS t, y, x, round(value + 1e-7, 4) AS value"
+
+
+@query(f"WITH e AS ({E()}) SELECT {_TIMED} FROM e WHERE t >= (SELECT min(t) + INTERVAL 2 DAY FROM e) AND t <= (SELECT min(t) + INTERVAL 9 DAY FROM e)")
+def cube_window(spark, sf_dir):
+    """A time variable written to a cube and a window of it read."""
+    cube = _cube(spark, 8)
+    cube.write_time("w", _steps(spark, sf_dir), dtype="double")
+    first = cube.times("w")[0]
+    return _timed(cube.read_window("w", first + timedelta(days=2), first + timedelta(days=9)))
+
+
+@query(f"WITH e AS ({E()}), d AS (SELECT DISTINCT t FROM e ORDER BY t LIMIT 4) SELECT {_TIMED} FROM e WHERE t IN (SELECT t FROM d)")
+def cube_append(spark, sf_dir):
+    """Four steps appended, each sent twice."""
+    cube, steps = _cube(spark, 8), _steps(spark, sf_dir).persist()
+    for r in steps.select("t").distinct().orderBy("t").limit(4).collect():
+        for _ in range(2):
+            cube.append_step("w", r.t, steps.where(F.col("t") == F.lit(r.t)).drop("t"), dtype="double")
+    steps.unpersist()
+    return _timed(cube.read_time("w"))
+
+
+@query(f"WITH g AS ({G()}), h AS ({G(where="l_returnflag = 'R'")}) SELECT g.y, g.x, round(least(g.value, CASE WHEN g.y < 20 THEN h.value * 0.9 END) + 1e-7, 4) AS value FROM g LEFT JOIN h ON h.y = g.y AND h.x = g.x")
+def cube_tile_merge(spark, sf_dir):
+    """The least of what tiles hold and what is merged into some of them."""
+    cube = _cube(spark)
+    cube.write_static("g", _grid(spark, sf_dir), dtype="double")
+    part = _grid(spark, sf_dir, where="l_returnflag = 'R'").where("y < 20").withColumn("value", F.col("value") * 0.9)
+    cube.write_tiles("g", part, MergePolicy.MONOTONE_MIN)
+    return cube.read_static("g").select("y", "x", _near("value").alias("value"))
+
+
+@query("SELECT * FROM (VALUES ('a', 3, 500.0::DOUBLE), ('b', 1, 30.0::DOUBLE)) t(variable, version, native_res_m)")
+def cube_catalog(spark, sf_dir):
+    """Latest versions and resolutions after bulk writes and a merge of tiles."""
+    cube, cells = _cube(spark), _grid(spark, sf_dir)
+    cube.write_static("a", cells)
+    cube.write_static("a", cells)
+    cube.write_static("b", cells, native_res_m=30.0)
+    cube.write_tiles("a", cells.limit(1))
+    rows = [(v, cube.catalog.latest_version(v), cube.catalog.native_resolution(v)) for v in cube.catalog.list_variables()]
+    return spark.createDataFrame(rows, "variable string, version int, native_res_m double")
+
+
+@query(_blocks(2, "avg"))
+def adapter_fetch(spark, sf_dir):
+    """A needed variable that its producer makes, fetched at half the resolution."""
+    from gridloom.model import VarSpec
+    from gridloom.plans.adapter import DataAdapter
+    from gridloom.plans.contracts import FunctionProducer, ProducerRegistry
+
+    cube = _cube(spark)
+    made = FunctionProducer(lambda inputs, request: _grid(spark, sf_dir), [VarSpec("price", dtype="double")], name="prices")
+    adapter = DataAdapter(["price"])
+    adapter.resolve(cube, ProducerRegistry([made]))
+    cells = adapter.fetch(cube, target_pixel_m=1000, spatial_method="mean")["price"]
+    return cells.withColumn("value", _near("value"))
+
+
+@query("SELECT * FROM (VALUES (1, 'after_broken', 'error'), (1, 'broken', 'error'), (1, 'price', 'ok'), (1, 'spread', 'ok'), (2, 'after_broken', 'error'), (2, 'broken', 'error'), (2, 'price', 'skipped'), (2, 'spread', 'skipped')) t(run, step, status)")
+def runner_steps(spark, sf_dir):
+    """A pipeline run twice: what is there is skipped, what is behind a failure isn't tried."""
+    from gridloom.model import VarSpec
+    from gridloom.plans.contracts import FunctionProducer, ProducerRegistry
+    from gridloom.plans.pipeline import Pipeline
+    from gridloom.plans.runner import PipelineRunner
+
+    def broken(inputs, request):
+        raise OSError("gone")
+
+    cube = _cube(spark)
+    double = lambda inputs, request: inputs["price"].withColumn("value", F.col("value") * 2)
+    producers = ProducerRegistry([
+        FunctionProducer(lambda inputs, request: _grid(spark, sf_dir), [VarSpec("price")], name="price"),
+        FunctionProducer(double, [VarSpec("spread")], ["price"], name="spread"),
+        FunctionProducer(broken, [VarSpec("none")], ["price"], name="broken"),
+        FunctionProducer(double, [VarSpec("last")], ["none"], name="after_broken"),
+    ])
+    runner = PipelineRunner(producers, verbose=False)
+    pipeline = Pipeline.from_targets(["spread", "last"], producers)
+    rows = [(run, s.name, s.status) for run in (1, 2) for s in runner.run(cube, pipeline, result_path=False).steps]
+    return spark.createDataFrame(rows, "run int, step string, status string")
+
+
+@query(f"""
+    WITH g AS ({DENSE})
+    SELECT a.y, a.x, round(avg(b.value) + 1e-7, 4) AS value FROM g a JOIN g b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.y, a.x""")
+def tiled_means(spark, sf_dir):
+    """Means of 3 x 3 cells by a tiled producer, whose tiles see a halo of one cell."""
+    from gridloom.model import Capabilities, Request, VarSpec
+    from gridloom.plans.contracts import TiledProducer
+
+    class Means(TiledProducer):
+        name, tile = "means", 16
+        produces, requires = (VarSpec("mean", dtype="double"),), (VarSpec("price"),)
+        capabilities = Capabilities(halo_cells=1, tile_parallel=True)
+
+        def process(self, rows, tile):
+            import numpy as np
+
+            field = rows.pivot(index="y", columns="x", values="price")
+            padded = np.pad(field.to_numpy(float), 1, constant_values=np.nan)
+            near = np.stack([padded[i : i + field.shape[0], j : j + field.shape[1]] for i in range(3) for j in range(3)])
+            n = np.isfinite(near).sum(0)
+            mean = np.where(n, np.nansum(near, 0) / np.maximum(n, 1), np.nan)
+            return rows.assign(value=mean[rows.y - field.index[0], rows.x - field.columns[0]])
+
+    cube = _cube(spark)
+    cube.write_static("price", _grid(spark, sf_dir), dtype="double")
+    Means().run(cube, Request())
+    return cube.read_static("mean").select("y", "x", _near("value").alias("value"))
+
+
+@query("SELECT (user_id % 8)::INT AS y, (event_id % 8)::INT AS x, min(value) AS value FROM events GROUP BY 1, 2")
+def stream_minimum(spark, sf_dir):
+    """Events streamed into a static variable by the least-value policy."""
+    from gridloom.streaming import ingest
+
+    events = _table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    cells = stream.select((F.col("user_id") % 8).cast("int").alias("y"), (F.col("event_id") % 8).cast("int").alias("x"), "value")
+    cube = _cube(spark, 8)
+    cube.init_static("low", dtype="double")
+    ingest.merge_stream(cells, cube, "low", MergePolicy.MONOTONE_MIN, f"{cube.root}/stream").awaitTermination()
+    return cube.read_static("low")
+
+
+@query(_blocks(4, "avg"))
+def resample_mean(spark, sf_dir):
+    return regrid.resample(_grid(spark, sf_dir), 500.0, 2000.0, 32, 32, "mean").withColumn("value", _near("value"))
+
+
+@query(f"SELECT {_AROUND.x0}::DOUBLE AS x0, {_AROUND.y1}::DOUBLE AS y1, 32614 AS epsg, 1000.0::DOUBLE AS pixel_m, ceil((c.x + 50000) / 1000) - floor((c.x - 50000) / 1000) AS width, ceil((c.y + 50000) / 1000) - floor((c.y - 50000) / 1000) AS height FROM (SELECT {geo.to_utm(-96.797, 32.776, 32614)[0]}::DOUBLE AS x, {geo.to_utm(-96.797, 32.776, 32614)[1]}::DOUBLE AS y) c")
+def grid_snap(spark, sf_dir):
+    g = Grid.around(-96.797, 32.776, 50_000, 1000)
+    return spark.createDataFrame([(float(g.x0), float(g.y1), g.crs_epsg, float(g.pixel_m), float(g.width), float(g.height))], "x0 double, y1 double, epsg int, pixel_m double, width double, height double")
