@@ -4,25 +4,34 @@
 warehouse stands in on a cluster, and a temporary one on a single machine. A
 written table cuts lineage and survives lost executors. Slim tables that are
 only read twice, outside loops, are ``kept`` on the executors' disks instead.
-Both go with ``release``, or when the driver's JVM ends.
+Both go with ``release``, or when the driver's JVM ends. Between rounds the
+driver ``settles``, so that executors needn't hold what finished rounds shuffled.
 """
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.batches import trim
+
 #: Shuffle partitions are sized for texts; of so many one task writes a slim table, unless few are left.
 SLIM, FEW = 8, 24
 #: Slim rows of a file, where their number is known.
 FILE_ROWS = 250_000
+#: Seconds from one ``settle`` to the next, at least.
+SETTLE = 5
 
+_settled = 0.0
 _local: list[str] = []
 _kept: list[DataFrame] = []
 _paths: list[str] = []
@@ -60,9 +69,36 @@ def written(df: DataFrame, tag: str, rows: int | None = None, slim: bool = True)
     most = max(FEW, partitions(spark) // SLIM) if rows is None else min(partitions(spark), rows // FILE_ROWS + 1)
     # nothing looks for the mark of a whole table, whose path nobody else knows
     (df.coalesce(most) if slim else df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    settle(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Clear away what finished rounds left, unless that was done just now.
+
+    Executors keep the shuffle files and broadcasts of a plan until the driver
+    collects its garbage, which a driver with memory to spare puts off while
+    their disks fill. What is free then goes back to the system.
+    """
+    global _settled
+    if time.monotonic() - _settled < SETTLE:
+        return
+    gc.collect()
+    jvm = spark.sparkContext._jvm
+    jvm.java.lang.System.gc()
+    trim()
+    try:
+        call = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        call[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        call[1] = "systemTrimNativeHeap"
+        server = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        invoke = next(m for m in server.getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+    except Py4JError:  # a JVM without that command
+        pass
+    _settled = time.monotonic()
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` on its executors' disks once it is computed; what a lost one held is computed again.
 
